@@ -14,6 +14,7 @@ def local_session(cores: int | str = "*", app: str = "salesprism", **conf: str)
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
     }
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
