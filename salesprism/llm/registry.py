@@ -1,6 +1,10 @@
 """The subpackage's queries and the SQL they are compared with."""
 
 from salesprism.llm.line_dedup import OP10_SQL, op10_line_dedup
+from salesprism.llm.quality import op9_quality_rules
 
-QUERIES = {"op10_line_dedup": op10_line_dedup}
+QUERIES = {
+    "op9_quality_rules": op9_quality_rules,
+    "op10_line_dedup": op10_line_dedup,
+}
 ORACLES = {"op10_line_dedup": OP10_SQL}
