@@ -1,9 +1,13 @@
 """The subpackage's queries and the SQL they are compared with."""
 
+from salesprism.llm.decontaminate import op3_decontaminate
 from salesprism.llm.line_dedup import OP10_SQL, op10_line_dedup
 from salesprism.llm.quality import op9_quality_rules
+from salesprism.llm.simhash import op8_simhash
 
 QUERIES = {
+    "op3_decontaminate": op3_decontaminate,
+    "op8_simhash": op8_simhash,
     "op9_quality_rules": op9_quality_rules,
     "op10_line_dedup": op10_line_dedup,
 }
