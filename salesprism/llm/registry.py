@@ -1,12 +1,20 @@
 """The subpackage's queries and the SQL they are compared with."""
 
 from salesprism.llm.decontaminate import op3_decontaminate
+from salesprism.llm.html_text import op5_main_text
 from salesprism.llm.line_dedup import OP10_SQL, op10_line_dedup
+from salesprism.llm.packing import op7_best_fit_packing
 from salesprism.llm.quality import op9_quality_rules
 from salesprism.llm.simhash import op8_simhash
+from salesprism.llm.token_counts import op4_token_counts
+from salesprism.llm.warc import op6_warc
 
 QUERIES = {
     "op3_decontaminate": op3_decontaminate,
+    "op4_token_counts": op4_token_counts,
+    "op5_main_text": op5_main_text,
+    "op6_warc": op6_warc,
+    "op7_best_fit_packing": op7_best_fit_packing,
     "op8_simhash": op8_simhash,
     "op9_quality_rules": op9_quality_rules,
     "op10_line_dedup": op10_line_dedup,
