@@ -10,16 +10,19 @@ others hold is dealt to fewer districts in the next round.
 from __future__ import annotations
 
 import random
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache, reduce
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salesprism.llm.common import chunks, read, utf8, written
+from salesprism.llm.common import chunks, read, written
 
 LENGTH = 2048
 END_ID = 0
@@ -29,35 +32,92 @@ EPOCHS = 2
 GENERATIONS = 4
 POPULATION = 4
 ROUNDS = 8
-CACHED_CHUNKS = 400_000
-_BATCH_BYTES = 4 << 20
+CACHED_CHUNKS = 600_000
+_BATCH_BYTES = 8 << 20
+
+
+# Letters that lower-case to one letter and compose with nothing, then the chunks
+# made of them, of digits and of signs that start no contraction and no special token.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-įĲ-ſ"
+_PLAIN = re.compile(rf"(?:[{_LETTERS}0-9!-&(-/:;=-@\[-`{{-~])+")
+_PART = re.compile(rf"[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
 
 
 class ChunkEncoder:
-    """Token ids of texts, chunk by chunk between ASCII blanks, as little-endian 32-bit bytes.
+    """Token ids of texts by way of their distinct chunks between ASCII blanks.
 
-    For tokenizers that never join characters across white space and drop it, like the word
-    vocabulary here, the ids of a text are those of its chunks. Chunks recur, so most cost a look-up.
+    For tokenizers that lower-case, drop white space and never join characters across it, like
+    the word vocabulary here, the ids of a text are those of its chunks. A batch is split and
+    its distinct chunks are found by column; only chunks not met lately are encoded. A plain
+    one falls into runs of letters, single digits and runs of signs, which recur more; new runs
+    of letters are encoded many at a time and told apart by the tokens that end a word.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        words = [t.split() for t in texts]
+        self.cache: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.last[i] = token.endswith("</w>")
+
+    def _alone(self, words: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return [np.array(x.ids, "<u4").tobytes() for x in found]
+
+    def _learn(self, parts: list[str]) -> None:
+        letters = [x for x in parts if x.isalpha()]
+        signs = [x for x in parts if not x.isalpha()]
+        self.parts.update(zip(signs, self._alone(signs), strict=True))
+        for at in range(0, len(letters), 2000):
+            group = letters[at : at + 2000]
+            ids = np.array(self.tokenizer.encode(" ".join(group), add_special_tokens=False).ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+            if len(ends) != len(group):
+                self.parts.update(zip(group, self._alone(group), strict=True))
+                continue
+            data = ids.tobytes()
+            self.parts.update(zip(group, map(data.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+
+    def _chunks(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct chunks."""
         if len(self.cache) > CACHED_CHUNKS:
             self.cache.clear()
-        cache = self.cache
-        new = list({w for ws in words for w in ws if w not in cache})
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            encoded = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            for word, found in zip(part, encoded, strict=True):
-                cache[word] = b"".join(i.to_bytes(4, "little") for i in found.ids)
-        return [b"".join([cache[w] for w in ws]) for ws in words]
+        if len(self.parts) > CACHED_CHUNKS:
+            self.parts.clear()
+        cache, parts = self.cache, self.parts
+        plain, other = {}, []
+        for word in words:
+            if word not in cache:
+                if _PLAIN.fullmatch(word):
+                    plain[word] = _PART.findall(word.lower())
+                else:
+                    other.append(word)
+        self._learn(list({x for found in plain.values() for x in found if x not in parts}))
+        for word, found in plain.items():
+            cache[word] = parts[found[0]] if len(found) == 1 else b"".join([parts[x] for x in found])
+        cache.update(zip(other, self._alone(other), strict=True))
+        return [cache[w] for w in words]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts one after another, and where each text's begin and the last's end."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():  # a special token's name keeps its case
+            texts = pc.ascii_lower(texts)
+        lists = pc.ascii_split_whitespace(texts)
+        coded = lists.flatten().dictionary_encode()
+        found = self._chunks(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        table = np.frombuffer(b"".join(found), "<u4")
+        starts = np.cumsum(sizes) - sizes
+        codes = coded.indices.to_numpy()
+        lengths = sizes[codes]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        ids = table[np.repeat(starts[codes] - ends[:-1], lengths) + np.arange(ends[-1])]
+        offsets = lists.offsets.to_numpy()
+        return ids, ends[offsets - offsets[0]]
 
 
 @lru_cache(maxsize=1)
@@ -75,11 +135,12 @@ def token_pieces(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = utf8(batch.column(1))
-            for a, b in chunks(map(len, texts), _BATCH_BYTES):
+            column = batch.column(1)
+            for a, b in chunks(pc.fill_null(pc.binary_length(column), 0).to_pylist(), _BATCH_BYTES):
                 rows, numbers, starts, lengths, sums = [], [], [], [], []
-                for i, ids in enumerate(encoder(tokenizer_path).encode(texts[a:b])):
-                    view = memoryview(ids + end)
+                ids, offsets = encoder(tokenizer_path).encode(column.slice(a, b - a))
+                for i, (first, stop) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+                    view = memoryview(ids[first:stop].tobytes() + end)
                     for number, at in enumerate(range(0, len(view), 4 * length)):
                         part = view[at : at + 4 * length]
                         rows.append(a + i)
