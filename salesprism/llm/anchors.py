@@ -50,7 +50,7 @@ def gram_hashes(units: np.ndarray, k: int) -> np.ndarray:
 
 
 def runs(h: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, first window, last window) of the runs of windows that share an anchor.
+    """(anchor, first window, last window) of the runs of windows that share an anchor.
 
     A window is ``w`` grams. Windows are taken in strips of 64: within a strip the low bits of a
     hash give way to the place, and the least of them is the leftmost anchor.
@@ -71,7 +71,7 @@ def runs(h: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     place = ((m & low).astype(np.int64) + (np.arange(strips) * _STRIP)[:, None]).ravel()[:n]
     first = np.concatenate([[0], np.flatnonzero(place[1:] != place[:-1]) + 1])
     last = np.concatenate([first[1:], [n]]) - 1
-    return h[place[first]], first, last
+    return place[first], first, last
 
 
 class Sketch:

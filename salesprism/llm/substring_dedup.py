@@ -14,13 +14,14 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from salesprism.llm.anchors import Sketch, build_sketch, gram_hashes, runs
-from salesprism.llm.common import read, utf8, written
+from salesprism.llm.common import chunks, read, utf8, written
 
 WINDOW = 35
+PART_BYTES = 2 << 20
 
 
 def _split(window: int) -> tuple[int, int]:
@@ -35,74 +36,124 @@ def word_runs(words: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray,
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     units = np.frombuffer(b"".join([xxhash.xxh3_64_digest(w) for w in words]), ">u8").astype(np.uint64)
     k, grams = _split(window)
-    return runs(gram_hashes(units, k), grams)
+    h = gram_hashes(units, k)
+    anchors, first, last = runs(h, grams)
+    return h[anchors], first, last
 
 
 def digest(words: list[bytes]) -> bytes:
-    return blake2b(b" ".join(words), digest_size=16).digest()
+    """64 bits of the words; with the key of their run, 128 bits stand for them."""
+    return blake2b(b" ".join(words), digest_size=8).digest()
 
 
-def longs(digests: list[bytes]) -> list[pa.Array]:
-    """128-bit digests as two columns."""
-    two = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-    return [pa.array(two[:, 0]), pa.array(two[:, 1])]
+def as_longs(digests: list[bytes]) -> pa.Array:
+    return pa.array(np.frombuffer(b"".join(digests), "<i8"))
 
 
-def _found(batches, window: int, wanted: Sketch):
-    """(batch, row, words, first, last, key) of every run whose key may be repeated."""
+def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Batches cut to a bounded size of text, with the texts of their third column."""
     for batch in batches:
+        texts = utf8(batch.column(2))
+        for a, b in chunks(map(len, texts), PART_BYTES):
+            yield batch.slice(a, b - a), texts[a:b]
+
+
+def _found(batches, window: int, wanted: Sketch):
+    """(batch, [(row, words, first, last, key)]) of the runs whose key may be repeated."""
+    for batch, texts in parts_of(batches):
         out = []
-        for i, text in enumerate(utf8(batch.column(2))):
+        for i, text in enumerate(texts):
             words = text.split()
             keys, first, last = word_runs(words, window)
-            for j in np.flatnonzero(wanted.repeated(keys)):
-                out.append((i, words, int(first[j]), int(last[j]), int(keys[j])))
+            at = np.flatnonzero(wanted.repeated(keys))
+            cut = zip(first[at].tolist(), last[at].tolist(), keys[at].view(np.int64).tolist(), strict=True)
+            out += [(i, words, a, b, k) for a, b, k in cut]
         yield batch, out
 
 
 def _occurrences(docs: DataFrame, window: int, sent) -> DataFrame:
-    """(id, row, key, r1, r2, first, last): candidate runs with the digest of their words."""
+    """(id, row, key, run, first, last): candidate runs with the digest of their words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, found in _found(batches, window, sent.value):
             rows = pa.array([f[0] for f in found], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).take(rows), batch.column(1).take(rows),
-                    pa.array(np.array([f[4] for f in found], np.uint64).view(np.int64)),
-                    *longs([digest(f[1][f[2] : f[3] + window]) for f in found]),
+                    batch.column(0).take(rows), batch.column(1).take(rows), pa.array([f[4] for f in found], pa.int64()),
+                    as_longs([digest(f[1][f[2] : f[3] + window]) for f in found]),
                     pa.array([f[2] for f in found], pa.int32()), pa.array([f[3] for f in found], pa.int32()),
                 ],
-                ["id", "row", "key", "r1", "r2", "first", "last"],
+                ["id", "row", "key", "run", "first", "last"],
             )
 
     kind = docs.dtypes[0][1]
-    return docs.mapInArrow(run, f"id {kind}, row bigint, key bigint, r1 bigint, r2 bigint, first int, last int")
+    return docs.mapInArrow(run, f"id {kind}, row bigint, key bigint, run bigint, first int, last int")
 
 
 def _windows(docs: DataFrame, window: int, sent) -> DataFrame:
-    """(r1, r2, place, w1, w2): digests of the windows of runs whose key may have different runs."""
+    """(key, run, windows): runs whose key may have different runs, with their windows' digests."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, found in _found(batches, window, sent.value):
-            spans, places, each = [], [], []
-            for _, words, first, last, _ in found:
-                whole = digest(words[first : last + window])
-                for place in range(last - first + 1):
-                    spans.append(whole)
-                    places.append(place)
-                    each.append(digest(words[first + place : first + place + window]))
+            each = [
+                b"".join([digest(words[s : s + window]) for s in range(first, last + 1)])
+                for _, words, first, last, _ in found
+            ]
             yield pa.RecordBatch.from_arrays(
-                [*longs(spans), pa.array(places, pa.int32()), *longs(each)], ["r1", "r2", "place", "w1", "w2"]
+                [
+                    pa.array([f[4] for f in found], pa.int64()),
+                    as_longs([digest(f[1][f[2] : f[3] + window]) for f in found]), pa.array(each, pa.binary()),
+                ],
+                ["key", "run", "windows"],
             )
 
-    return docs.mapInArrow(run, "r1 bigint, r2 bigint, place int, w1 bigint, w2 bigint")
+    return docs.mapInArrow(run, "key bigint, run bigint, windows binary")
+
+
+def whole_keys(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[tuple]]:
+    """Rows sorted by their first column, in lists of whole keys whose last columns are about ``most`` bytes."""
+    held, size = [], 0
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if size >= most and row[0] != held[-1][0]:
+                yield held
+                held, size = [], 0
+            held.append(row)
+            size += len(row[-1])
+    if held:
+        yield held
+
+
+def places_batch(rows: list[tuple], places: list[np.ndarray]) -> pa.RecordBatch:
+    """(key, run, places) of the rows that have places."""
+    out = [(r[0], r[1], p.astype(np.int32)) for r, p in zip(rows, places, strict=True) if len(p)]
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()),
+            pa.array([o[2] for o in out], pa.list_(pa.int32())),
+        ],
+        ["key", "run", "places"],
+    )
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, run, places): the places of windows that another run of the key has too."""
+    for rows in whole_keys(batches, PART_BYTES):
+        each = [np.frombuffer(r[2], "<i8") for r in rows]
+        lengths = np.array([len(x) for x in each])
+        keys, windows = np.repeat(np.array([r[0] for r in rows], np.int64), lengths), np.concatenate(each)
+        order = np.lexsort((windows, keys))
+        same = (keys[order[1:]] == keys[order[:-1]]) & (windows[order[1:]] == windows[order[:-1]])
+        again = np.zeros(len(order), bool)
+        again[order[1:][same]] = True
+        again[order[:-1][same]] = True
+        yield places_batch(rows, [np.flatnonzero(x) for x in np.split(again, np.cumsum(lengths)[:-1])])
 
 
-def _column_keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+def column_keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
     yield batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
 
 
 def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
-    """(id, row, spans): first and end words of runs of repeated windows, for ``docs`` (id, row, text)."""
+    """(id, row, spans): first and end words of repeated windows, for ``docs`` (id, row, text)."""
     spark = docs.sparkSession
 
     def keys_of(batch):
@@ -111,24 +162,34 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
 
     candidates = spark.sparkContext.broadcast(build_sketch(docs, keys_of))
     found = _occurrences(docs, window, candidates)
-    groups = written(found.groupBy("key", "r1", "r2").agg((F.count("*") > 1).alias("equal")), "runs")
-    mixed = spark.sparkContext.broadcast(build_sketch(groups.select("key"), _column_keys))
-    windows = written(_windows(docs, window, mixed).distinct(), "windows")
-    again = written(windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").select("w1", "w2"), "again")
-    # A run that differs from all others: the places of its windows that another run has.
-    some = windows.join(again, ["w1", "w2"]).groupBy("r1", "r2").agg(F.collect_list("place").alias("places"))
-    whole = groups.filter("equal").select("r1", "r2", F.lit(None).cast("array<int>").alias("places"))
-    single = groups.filter("NOT equal").select("r1", "r2").join(some, ["r1", "r2"])
-    settled = written(whole.union(single.select("r1", "r2", "places")), "settled")
-    marks = found.join(settled, ["r1", "r2"]).select(
-        "id", "row",
-        F.when(F.col("places").isNull(), F.array(F.struct(F.col("first").alias("a"), (F.col("last") + window).alias("b"))))
-        .otherwise(F.transform("places", lambda p: F.struct((F.col("first") + p).alias("a"), (F.col("first") + p + window).alias("b"))))
-        .alias("spans"),
+    groups = written(found.groupBy("key", "run").agg((F.count("*") > 1).alias("equal")), "runs")
+    mixed = spark.sparkContext.broadcast(build_sketch(groups.select("key"), column_keys))
+    distinct = _windows(docs, window, mixed).groupBy("key", "run").agg(F.first("windows").alias("windows"))
+    some = written(
+        distinct.repartition("key").sortWithinPartitions("key", "run").mapInArrow(_shared, "key bigint, run bigint, places array<int>"),
+        "shared",
+    )
+    settled = written(
+        groups.join(some, ["key", "run"], "left").filter("equal OR places IS NOT NULL")
+        .select("key", "run", F.when(~F.col("equal"), F.col("places")).alias("places")),
+        "settled",
+    )
+    marks = found.join(settled, ["key", "run"]).select(
+        "id", "row", F.coalesce(of_places("places", window), of_run(window)).alias("spans")
     )
     return marks.groupBy("id", "row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
+def of_run(window: int) -> Column:
+    """What a whole run of windows covers."""
+    return F.array(F.struct(F.col("first").alias("a"), (F.col("last") + window).alias("b")))
+
+
+def of_places(places: str, window: int) -> Column:
+    """What the windows at some places of a run cover."""
+    return F.transform(places, lambda p: F.struct((F.col("first") + p).alias("a"), (F.col("first") + p + window).alias("b")))
+
+
 def covered(spans: list[dict], n: int) -> np.ndarray:
     """Flags of the places inside any span."""
     step = np.zeros(n + 1, np.int32)
@@ -139,8 +200,11 @@ def covered(spans: list[dict], n: int) -> np.ndarray:
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, row, text): row tells rows of one id and different texts apart."""
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
+    """(id, row, text): row tells rows of one id and different texts apart, where there are any."""
+    ids = docs.select(F.col(id_col).alias("id"))
+    unique = ids.groupBy("id").count().filter("count > 1").isEmpty()
+    row = F.lit(0).cast("long") if unique else F.xxhash64(text_col)
+    return docs.select(F.col(id_col).alias("id"), row.alias("row"), F.col(text_col).alias("text"))
 
 
 def with_spans(docs: DataFrame, marks: DataFrame) -> DataFrame:
