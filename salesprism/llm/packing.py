@@ -103,7 +103,8 @@ class ChunkEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, and where each text's begin and the last's end."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        # A fresh array: lower-casing a cast slice reads the wrong bytes.
+        texts = pa.array([t or "" for t in texts.to_pylist()], pa.large_string())
         if not pc.any(pc.match_substring(texts, "<|")).as_py():  # a special token's name keeps its case
             texts = pc.ascii_lower(texts)
         lists = pc.ascii_split_whitespace(texts)
