@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from salesprism.functions.text import trimmed
+from salesprism.functions.text import strip
 
 # Shape of the text -> the one pattern that can read it. The shapes exclude each other, so a
 # row is parsed at most once and never pays for the failed attempts of the other patterns.
@@ -28,7 +28,7 @@ FIRST_PIVOTED_YEAR = 2069
 
 def parse_date(col: Column) -> Column:
     """Ordinals and commas dropped, then the pattern that fits; two-digit 69-99 are 19xx."""
-    text = F.regexp_replace(trimmed(col), r"(?i)(\d{1,2})(st|nd|rd|th)", "$1")
+    text = F.regexp_replace(strip(col), r"(?i)(\d{1,2})(st|nd|rd|th)", "$1")
     text = F.regexp_replace(text, ",", "")
     out = F.lit(None).cast("date")
     for shape, pattern in reversed(DATE_SHAPES):

@@ -26,7 +26,7 @@ def null_markers(col: Column, markers: Iterable[str] = (*CELL_MARKERS, *READER_M
 
 def strip(col: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(col, r"^\s+|\s+$", "")
+    return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
 
 
 def trimmed(col: Column) -> Column:
@@ -34,7 +34,7 @@ def trimmed(col: Column) -> Column:
 
 
 def collapse_spaces(col: Column) -> Column:
-    return F.regexp_replace(col, r"\s+", " ")
+    return F.regexp_replace(col, r"(?U)\s+", " ")
 
 
 def canonical_name(col: Column) -> Column:
@@ -42,21 +42,27 @@ def canonical_name(col: Column) -> Column:
     return F.trim(collapse_spaces(F.regexp_replace(col, "[®™©]", "")))
 
 
+def decimal_text(col: Column) -> Column:
+    """Text to double where it is a plain decimal number; no suffixes, no infinities."""
+    bare = strip(col)
+    return F.when(bare.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d{1,3})?$"), bare.try_cast("double"))
+
+
 def number(col: Column) -> Column:
-    """Text to double, NULL where it does not parse; NaN is missing too."""
-    value = strip(col).try_cast("double")
-    return F.when(~F.isnan(value), value)
+    """Text to double, NULL where it does not parse or is not finite."""
+    value = decimal_text(col)
+    return F.when(F.abs(value) < float("inf"), value)
 
 
 def sales_cell(col: Column) -> Column:
     """``1.23m`` to 1.23; blank, dash, bad and missing cells are 0."""
     text = strip(F.regexp_replace(col, "[mM]", ""))
-    return F.coalesce(F.round(text.try_cast("double"), 3), F.lit(0.0))
+    return F.coalesce(F.round(decimal_text(text), 3), F.lit(0.0))
 
 
 def score_cell(col: Column) -> Column:
     """A score, or NULL for blank, ``N/A`` in any case and bad text."""
-    return F.when(F.upper(col) != "N/A", strip(col).try_cast("double"))
+    return F.when(F.upper(col) != "N/A", decimal_text(col))
 
 
 def rank_cell(col: Column) -> Column:

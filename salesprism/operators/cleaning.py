@@ -95,6 +95,14 @@ def fill_sales(
     return df.withColumn("Regional_Sales_Sum", sales.row_sum(regions))
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows behind a projection that filters are not pushed through.
+
+    A filter on a parsed column would else repeat the whole parsing expression for each use.
+    """
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
 def rejection_reason(as_of_year: int, first_year: int = 1970) -> Column:
     """The first rule a row breaks, NULL for a row to keep."""
     return (

@@ -24,9 +24,8 @@ GENRE_OF_TYPE = {
     "STANDARD": "Role-Playing",
 }
 UNIT_PRICE = 20000
-# One order line is far below the 9999.9999 this type holds; a larger one fails the cast
-# instead of losing digits, and sums of such decimals run as bigint sums.
-LINE_TYPE = "decimal(8,4)"
+# Amounts are exact to four digits; the type holds any amount an order line can have.
+LINE_TYPE = "decimal(18,4)"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

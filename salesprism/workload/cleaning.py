@@ -20,7 +20,7 @@ R = schema.REGIONS
 def typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = cleaning.trim_column_names(raw_listing(spark, sf_dir))
     text_ready = cleaning.trim_text(cleaning.null_missing_cells(raw))
-    return cleaning.coerce_numbers(cleaning.parse_dates_and_year(text_ready, AS_OF))
+    return cleaning.settled(cleaning.coerce_numbers(cleaning.parse_dates_and_year(text_ready, AS_OF)))
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +34,8 @@ def kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 MARKERS = ", ".join(quoted(m) for m in dict.fromkeys((*text.CELL_MARKERS, *text.READER_MARKERS)))
 TRIMMED = ", ".join(quoted(m) for m in text.TRIMMED_MARKERS)
 NUMBERS = ", ".join(f"TRY_CAST({c} AS DOUBLE) AS {c}" for c in (*R, "Global_Sales", "Total_Shipped", *schema.SCORES))
-FORMATS = "['%d %b %Y', '%d %b %y', '%d %B %Y', '%d %B %y', '%Y-%m-%d', '%d-%b-%Y', '%b %d %Y']"
+# Two-digit years first: the four-digit form would read 95 as the year 95.
+FORMATS = "['%d %b %y', '%d %b %Y', '%d %B %y', '%d %B %Y', '%Y-%m-%d', '%d-%b-%Y', '%b %d %Y']"
 
 
 def _cell(column: str) -> str:
