@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import random
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache, reduce
@@ -40,17 +41,28 @@ _BATCH_BYTES = 8 << 20
 # made of them, of digits and of signs that start no contraction and no special token.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-įĲ-ſ"
 _PLAIN = re.compile(rf"(?:[{_LETTERS}0-9!-&(-/:;=-@\[-`{{-~])+")
-_PART = re.compile(rf"[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
+_PART = re.compile(rf"[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9\n]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself where it prints."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [x for x in range(256) if x not in shown]
+    return {x: chr(x) for x in shown} | {x: chr(256 + i) for i, x in enumerate(hidden)}
+
+
+_BYTE_LETTERS = _byte_letters()
+_NEWLINE = _BYTE_LETTERS[10]
 
 
 class ChunkEncoder:
     """Token ids of texts by way of their distinct chunks between ASCII blanks.
 
-    For tokenizers that lower-case, drop white space and never join characters across it, like
-    the word vocabulary here, the ids of a text are those of its chunks. A batch is split and
-    its distinct chunks are found by column; only chunks not met lately are encoded. A plain
-    one falls into runs of letters, single digits and runs of signs, which recur more; new runs
-    of letters are encoded many at a time and told apart by the tokens that end a word.
+    For byte-level tokenizers that lower-case, drop white space and never join characters across
+    it, like the word vocabulary here, the ids of a text are those of its chunks. A batch is split
+    and its distinct chunks are found by column; only chunks not met lately are encoded. A plain
+    one falls into runs of letters, single digits and runs of signs, which recur more; those go
+    to the vocabulary's merges directly, all others through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -59,27 +71,14 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
-        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.last[i] = token.endswith("</w>")
-
-    def _alone(self, words: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
 
     def _learn(self, parts: list[str]) -> None:
-        letters = [x for x in parts if x.isalpha()]
-        signs = [x for x in parts if not x.isalpha()]
-        self.parts.update(zip(signs, self._alone(signs), strict=True))
-        for at in range(0, len(letters), 2000):
-            group = letters[at : at + 2000]
-            ids = np.array(self.tokenizer.encode(" ".join(group), add_special_tokens=False).ids, "<u4")
-            ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
-            if len(ends) != len(group):
-                self.parts.update(zip(group, self._alone(group), strict=True))
-                continue
-            data = ids.tobytes()
-            self.parts.update(zip(group, map(data.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+        """Ids of parts that the pre-tokenizer leaves whole."""
+        merge, pack = self.tokenizer.model.tokenize, struct.pack
+        shown = "\n".join(parts).encode().decode("latin-1").translate(_BYTE_LETTERS).split(_NEWLINE) if parts else []
+        for part, letters in zip(parts, shown, strict=True):
+            found = [t.id for t in merge(letters)]
+            self.parts[part] = pack(f"<{len(found)}I", *found)
 
     def _chunks(self, words: list[str]) -> list[bytes]:
         """The ids of distinct chunks."""
@@ -88,18 +87,20 @@ class ChunkEncoder:
         if len(self.parts) > CACHED_CHUNKS:
             self.parts.clear()
         cache, parts = self.cache, self.parts
-        plain, other = {}, []
-        for word in words:
-            if word not in cache:
-                if _PLAIN.fullmatch(word):
-                    plain[word] = _PART.findall(word.lower())
-                else:
-                    other.append(word)
-        self._learn(list({x for found in plain.values() for x in found if x not in parts}))
-        for word, found in plain.items():
-            cache[word] = parts[found[0]] if len(found) == 1 else b"".join([parts[x] for x in found])
-        cache.update(zip(other, self._alone(other), strict=True))
-        return [cache[w] for w in words]
+        out = list(map(cache.get, words))
+        new = [i for i, x in enumerate(out) if x is None]
+        plain, other = [], []
+        for i in new:
+            (plain if _PLAIN.fullmatch(words[i]) else other).append(i)
+        # One pass over all plain chunks: a line each, so a part never runs into the next chunk.
+        split = [x.split() for x in _PART.sub(r"\g<0> ", "\n".join([words[i] for i in plain]).lower()).split("\n")] if plain else []
+        self._learn(list({x for found in split for x in found if x not in parts}))
+        for i, found in zip(plain, split, strict=True):
+            out[i] = parts[found[0]] if len(found) == 1 else b"".join([parts[x] for x in found])
+        for i, x in zip(other, self.tokenizer.encode_batch_fast([words[i] for i in other], add_special_tokens=False), strict=True):
+            out[i] = np.array(x.ids, "<u4").tobytes()
+        cache.update((words[i], out[i]) for i in new)
+        return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, and where each text's begin and the last's end."""
