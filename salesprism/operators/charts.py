@@ -220,9 +220,7 @@ def age_cohorts(df: DataFrame) -> DataFrame:
 def platform_ranks(df: DataFrame, min_years: int = 5, key: str = FAMILY) -> DataFrame:
     """Rank per year of the long-lived families; ranks are taken before the filter."""
     ranked = temporal.rank_within_year(df, key)
-    kept = temporal.with_min_years(ranked, key, min_years)
-    families = kept.agg(F.count_distinct(key)).scalar()
-    return kept.where(families >= 2).select("Year", key, "rank")
+    return temporal.with_min_years(ranked, key, min_years).select("Year", key, "rank")
 
 
 def genre_years(df: DataFrame, k: int = 8) -> DataFrame:
@@ -237,7 +235,7 @@ def genre_years(df: DataFrame, k: int = 8) -> DataFrame:
     )
 
 
-def score_quadrants(df: DataFrame, k: int = 6, min_rows: int = 50) -> DataFrame:
+def score_quadrants(df: DataFrame, k: int = 6) -> DataFrame:
     """Scored titles around the two medians: counts per quadrant and top genre."""
     valid = df.where(F.col("Composite_Score").isNotNull() & (F.col(SALES) > 0))
     score_mid = exact_median(valid, "Composite_Score").scalar()
@@ -245,13 +243,12 @@ def score_quadrants(df: DataFrame, k: int = 6, min_rows: int = 50) -> DataFrame:
     top = F.broadcast(top_keys(valid, "Genre", _sales(), k).select(F.col("Genre").alias("_top")))
     high = F.when(F.col("Composite_Score") >= score_mid, "high_score").otherwise("low_score")
     sold = F.when(F.col(SALES) >= sales_mid, "high_sales").otherwise("low_sales")
-    counts = (
+    return (
         valid.join(top, F.col("Genre") == F.col("_top"), "left")
         .select(F.concat_ws("/", high, sold).alias("quadrant"), F.coalesce("_top", F.lit(schema.UNKNOWN_GENRE)).alias("genre"))
         .groupBy("quadrant", "genre")
         .agg(F.count("*").alias("n"))
     )
-    return counts.where(valid.agg(F.count("*")).scalar() >= min_rows)
 
 
 def genre_region_mix(df: DataFrame, k: int = 4, regions: Sequence[str] = schema.REGIONS) -> DataFrame:
@@ -279,12 +276,18 @@ def genre_bars(df: DataFrame, k: int = 10) -> DataFrame:
     return market.top_by_sales(df, "Genre", k).orderBy(F.asc("sales"), F.desc("Genre"))
 
 
-def platform_genre_cells(df: DataFrame, genres: Sequence[str], key: str = FAMILY) -> DataFrame:
-    """Sales per platform and genre, one decimal, 0 for pairs that never occur."""
-    sums = market.sales_by(df, [key, "Genre"])
-    wide = sums.groupBy(key).pivot("Genre", list(genres)).agg(F.first("sales"))
-    filled = wide.select(key, *[F.round(F.coalesce(F.col(f"`{g}`"), F.lit(0.0)), 1).alias(g) for g in genres])
-    return filled.unpivot([key], [F.col(f"`{g}`") for g in genres], "Genre", "sales")
+def platform_genre_cells(df: DataFrame, key: str = FAMILY) -> DataFrame:
+    """Sales per platform and genre, one decimal, 0 for pairs that never occur.
+
+    All observed genres stand next to all observed platforms: a few labels each, so a
+    platform's cells are one small map.
+    """
+    sums = market.sales_by(df, [key, "Genre"]).where(F.col(key).isNotNull() & F.col("Genre").isNotNull())
+    genres = sums.agg(F.array_sort(F.collect_set("Genre"))).scalar()
+    grid = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("Genre", "sales"))).alias("m"))
+    return grid.select(key, "m", F.explode(genres).alias("Genre")).select(
+        key, "Genre", F.round(F.coalesce(F.try_element_at("m", F.col("Genre")), F.lit(0.0)), 1).alias("sales")
+    )
 
 
 def genre_radar(df: DataFrame, k: int = 5, regions: Sequence[str] = schema.REGIONS) -> DataFrame:

@@ -9,12 +9,10 @@ from pyspark.sql import functions as F
 from salesprism import schema
 from salesprism.functions.text import quarter_suffix
 from salesprism.operators import charts, market, ordered
-from salesprism.plans.titles import GENRE_OF_TYPE
 from salesprism.workload.registry import on_titles, tier_case, total
 
 GS = total("Global_Sales")
 R = schema.REGIONS
-GENRES = sorted(set(GENRE_OF_TYPE.values()))
 SUM4 = "round(sum(sales), 4)"
 
 
@@ -245,7 +243,7 @@ def _(t):
     f""", py AS (SELECT Year, Platform_Family_CN, rank() OVER (PARTITION BY Year ORDER BY {GS} DESC) AS rank FROM titles GROUP BY 1, 2),
     k AS (SELECT Platform_Family_CN FROM py GROUP BY 1 HAVING count(*) >= 5)
     SELECT Year AS "Year", Platform_Family_CN AS "Platform_Family_CN", CAST(rank AS INTEGER) AS rank FROM py
-    WHERE Platform_Family_CN IN (SELECT Platform_Family_CN FROM k) AND (SELECT count(*) FROM k) >= 2""",
+    WHERE Platform_Family_CN IN (SELECT Platform_Family_CN FROM k)""",
 )
 def _(t):
     return charts.platform_ranks(t)
@@ -264,9 +262,9 @@ def _(t):
     "score_quadrants",
     f""", v AS (SELECT Composite_Score AS c, Global_Sales AS s, Genre, Global_Sales FROM titles WHERE Composite_Score IS NOT NULL AND Global_Sales > 0),
     top AS (SELECT Genre FROM v GROUP BY 1 ORDER BY {GS} DESC, Genre LIMIT 6),
-    m AS (SELECT quantile_cont(c, 0.5) AS mc, quantile_cont(s, 0.5) AS ms, count(*) AS n FROM v)
+    m AS (SELECT quantile_cont(c, 0.5) AS mc, quantile_cont(s, 0.5) AS ms FROM v)
     SELECT CASE WHEN c >= mc THEN 'high_score' ELSE 'low_score' END || '/' || CASE WHEN s >= ms THEN 'high_sales' ELSE 'low_sales' END AS quadrant,
-    CASE WHEN Genre IN (SELECT Genre FROM top) THEN Genre ELSE '{schema.UNKNOWN_GENRE}' END AS genre, count(*) AS n FROM v, m WHERE m.n >= 50 GROUP BY 1, 2""",
+    CASE WHEN Genre IN (SELECT Genre FROM top) THEN Genre ELSE '{schema.UNKNOWN_GENRE}' END AS genre, count(*) AS n FROM v, m GROUP BY 1, 2""",
 )
 def _(t):
     return charts.score_quadrants(t)
@@ -310,7 +308,7 @@ def _(t):
     WHERE t.Platform_Family_CN = p.Platform_Family_CN AND t.Genre = g.Genre), 1) AS sales FROM p, g""",
 )
 def _(t):
-    return charts.platform_genre_cells(t, GENRES)
+    return charts.platform_genre_cells(t)
 
 
 @on_titles(
