@@ -324,3 +324,66 @@ def test_pipeline_stages(spark, docs, empty, tmp_path):
     assert kept == {r.doc_id for r in quality.quality_rules(docs).filter("kept").collect()}
     same = spark.createDataFrame([(2, "a b c d", "en", "s", 7), (1, "A b  c d", "en", "s", 8), (None, "q", "", "", 1)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     assert {r.doc_id for r in p.near_duplicates(spark, same, "").collect()} == {1, None}
+
+
+def near_copies():
+    """Texts with copies of one text at about every similarity from 0.5 to 1."""
+    rng = random.Random(12)
+    out = [None, "", " ", "one two", "One  two", "a b c d e", "a b c d e f"]
+    for _ in range(12):
+        words = [f"v{rng.randrange(400)}" for _ in range(rng.randrange(30, 200))]
+        out.append(" ".join(words))
+        for _ in range(8):
+            copy = list(words)
+            for _ in range(rng.randrange(1, 2 + len(words) // 25)):
+                copy[rng.randrange(len(copy))] = f"u{rng.randrange(10**6)}"
+            out.append(" ".join(copy))
+    return out
+
+
+def test_pipeline_links_near_copies_of_five_words(spark):
+    import corpus_pipeline as p
+
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(near_copies())]
+    sets, prints = [], []
+    for _, t, *_ in rows:
+        w = split(lower(t or ""))
+        grams = [" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))] if w else []
+        hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+        sets.append(set(grams))
+        prints.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)))
+
+    def linked(a, b):
+        common = len(sets[a] & sets[b])
+        return (prints[a] ^ prints[b]).bit_count() <= 12 and 5 * common >= 4 * (len(sets[a] | sets[b]))
+
+    seen, first = set(), set()
+    for i in range(len(rows)):
+        if i not in seen:
+            first.add(i)
+            left = [i]
+            while left:
+                a = left.pop()
+                seen.add(a)
+                left += [b for b in range(len(rows)) if b not in seen and linked(a, b)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert {r.doc_id for r in p.near_duplicates(spark, docs, "").collect()} == first
+    assert 20 < len(first) < len(rows) - 20
+
+
+@pytest.mark.parametrize("bits", [0, 3, 12])
+def test_links_of_any_radius_in_crowded_cells(spark, bits):
+    rng = random.Random(9)
+    values = {0}
+    for _ in range(40):
+        x = rng.getrandbits(64) if rng.random() < 0.3 else rng.choice(sorted(values))
+        for _ in range(8):
+            y = x
+            for _ in range(rng.randrange(8)):
+                y ^= 1 << rng.randrange(64)
+            values.add(y)
+    values = sorted(v - (1 << 64) if v >> 63 else v for v in values)
+    fps = spark.createDataFrame([(v,) for v in values], "fp bigint")
+    found = simhash.links(fps, len(values), bits, light=2).collect()
+    pairs = {(a, b) for a in values for b in values if a < b and ((a ^ b) % 2**64).bit_count() <= bits}
+    assert {(r.src, r.dst) for r in found} == pairs and len(found) == len(pairs)
