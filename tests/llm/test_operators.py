@@ -387,3 +387,14 @@ def test_links_of_any_radius_in_crowded_cells(spark, bits):
     found = simhash.links(fps, len(values), bits, light=2).collect()
     pairs = {(a, b) for a in values for b in values if a < b and ((a ^ b) % 2**64).bit_count() <= bits}
     assert {(r.src, r.dst) for r in found} == pairs and len(found) == len(pairs)
+
+
+def test_pipeline_keeps_unlinked_rows_of_one_id(spark):
+    import corpus_pipeline as p
+
+    rng = random.Random(14)
+    a, b, c, d, e, f = (" ".join(f"{x}{rng.randrange(1000)}" for _ in range(80)) for x in "abcdef")
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, d), (3, d), (None, e), (None, f), (None, c), (None, f)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = Counter((r.doc_id, r.text) for r in p.near_duplicates(spark, docs, "").collect())
+    assert got == Counter([(1, a), (2, b), (3, c), (3, d), (None, e), (None, f)])
