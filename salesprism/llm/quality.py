@@ -1,13 +1,15 @@
 """Quality rules: per-text statistics, then robust multivariate outliers per language and source.
 
 Native: DataFrame functions only. The location and scatter of the transformed statistics are
-minimum-covariance-determinant estimates, reached by concentration steps from a deterministic
-start; a text is rejected by its squared Mahalanobis distance.
+minimum-covariance-determinant estimates of half of a group's rows, reached by concentration
+steps from several deterministic starts until the determinant falls no more; the least is kept. A text
+is rejected by its squared Mahalanobis distance.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,8 +24,11 @@ PRIOR = (0.8, 0.1, 0.03, 0.5, 0.2)
 FLOOR = (0.3, 0.03, 0.03, 0.3, 0.1)
 PRIOR_ROWS = 20
 UNIT = 1000  # statistics are whole thousandths: their sums are exact in any order
-SHARE = 0.75
-STEPS = 4
+SHARE = 0.5
+MOST_STEPS = 100
+CONVERGED = 1e-6  # least fall of the determinant's logarithm that counts as a step
+STARTS = ("quartiles", "moments", "signs", "squashed")
+KEYS = ("lang_", "source_", "start_")
 LEVEL = 1 - 1e-6
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -153,13 +158,16 @@ def vector() -> list[Column]:
 
 
 def _factored(groups: DataFrame, mean: dict[str, Column], cov: dict[tuple[int, int], Column]) -> DataFrame:
-    """Group rows with means m_i and the Cholesky factor l_i_j of the regularised scatter."""
+    """Group rows with means m_i, the Cholesky factor l_i_j of the regularised scatter and det.
+
+    det is the logarithm of the determinant: twice the sum of those of the factor's diagonal.
+    """
     p = len(AXES)
     prior = [(x * UNIT) ** 2 for x in PRIOR]
     floor = [(x * UNIT) ** 2 for x in FLOOR]
     n = F.col("n").cast("double")
     out = groups.select(
-        "lang_", "source_", "n",
+        *KEYS, "n",
         *[mean[a].alias(f"m_{i}") for i, a in enumerate(AXES)],
         *[
             (
@@ -173,25 +181,55 @@ def _factored(groups: DataFrame, mean: dict[str, Column], cov: dict[tuple[int, i
         for i in range(j, p):
             rest = F.col(f"c_{i}_{j}") - sum((F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}") for k in range(j)), F.lit(0.0))
             out = out.withColumn(f"l_{i}_{j}", F.sqrt(rest) if i == j else rest / F.col(f"l_{j}_{j}"))
+    out = out.withColumn("det", sum((2 * F.log(f"l_{i}_{i}") for i in range(p)), F.lit(0.0)))
     return written(out.drop(*[f"c_{i}_{j}" for i in range(p) for j in range(i + 1)]), "scatter")
 
 
-def _distances(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """``rows`` with the squared Mahalanobis distance d2 from their group's centre."""
+def _distances(rows: DataFrame, groups: DataFrame, how: str = "left") -> DataFrame:
+    """``rows`` with the squared Mahalanobis distance d2 from their group's centre, for each start."""
     p = len(AXES)
     keys = ["lang_", "source_"]
-    out = rows.join(groups.drop("n"), keys, "left")
+    out = rows.join(groups.drop("n", "det"), keys, how)
     for i in range(p):
         rest = F.col(f"x_{AXES[i]}") - F.col(f"m_{i}")
         for k in range(i):
             rest = rest - F.col(f"l_{i}_{k}") * F.col(f"y_{k}")
         out = out.withColumn(f"y_{i}", rest / F.col(f"l_{i}_{i}"))
     out = out.withColumn("d2", sum((F.col(f"y_{i}") * F.col(f"y_{i}") for i in range(p)), F.lit(0.0)))
-    return out.drop(*[f"y_{i}" for i in range(p)], *[c for c in groups.columns if c not in keys])
+    return out.drop(*[f"y_{i}" for i in range(p)], *[c for c in groups.columns if c not in KEYS])
+
+
+def _moments(rows: DataFrame, x: list[Column], inside: Column | None = None) -> DataFrame:
+    """Count n, sums s_i and sums of products s_i_j of whole numbers ``x``, exact in any order."""
+    def some(value):
+        return value if inside is None else F.when(inside, value)
+
+    p, keys = len(x), [k for k in KEYS if k in rows.columns]
+    return rows.groupBy(*keys).agg(
+        F.count(some(F.lit(1))).alias("n"),
+        *[F.sum(some(x[i])).cast("double").alias(f"s_{i}") for i in range(p)],
+        *[
+            F.sum(some((x[i] * x[j]).cast("decimal(38,0)"))).cast("double").alias(f"s_{i}_{j}")
+            for i in range(p) for j in range(i + 1)
+        ],
+    )
+
+
+def _scatter(p: int) -> dict[tuple[int, int], Column]:
+    """Covariances from the sums of ``_moments``."""
+    return {
+        (i, j): F.col(f"s_{i}_{j}") / F.col("n") - F.col(f"s_{i}") * F.col(f"s_{j}") / F.col("n") / F.col("n")
+        for i in range(p) for j in range(i + 1)
+    }
+
 
+def _starts(rows: DataFrame) -> DataFrame:
+    """The starts of each group: medians with quartile spreads, moments, and two of shrunk rows.
 
-def _start(rows: DataFrame) -> DataFrame:
-    """Medians and quartile spreads of each axis, from counts of binned values."""
+    The medians and quartiles come from counts of binned values. Of the rows less the medians,
+    in quartile spreads, one start takes the directions (spatial signs), the other hyperbolic
+    tangents; the scatter of these, in the spreads' units, lies around the medians.
+    """
     p = len(AXES)
     bins = (
         rows.select("lang_", "source_", F.posexplode(F.array(*[F.floor(F.col(f"x_{a}") / 20) for a in AXES])).alias("axis", "bin"))
@@ -206,14 +244,35 @@ def _start(rows: DataFrame) -> DataFrame:
     def quantile(axis, q):
         return F.min(F.when((F.col("axis") == axis) & (F.col("upto") >= q * F.col("all")), F.col("bin"))) * 20.0 + 10.0
 
-    groups = ranked.groupBy("lang_", "source_").agg(
+    middle = ranked.groupBy("lang_", "source_").agg(
         F.max("all").alias("n"),
         *[quantile(i, q).alias(f"q{int(100 * q)}_{i}") for i in range(p) for q in (0.25, 0.5, 0.75)],
     )
-    mean = {a: F.col(f"q50_{i}") for i, a in enumerate(AXES)}
-    spread = {i: (F.col(f"q75_{i}") - F.col(f"q25_{i}")) / 1.349 for i in range(p)}
-    cov = {(i, j): spread[i] * spread[i] if i == j else F.lit(0.0) for i in range(p) for j in range(i + 1)}
-    return _factored(groups, mean, cov)
+    # The spread is at least the floor: constant statistics divide by it.
+    middle = written(middle.select(
+        "lang_", "source_", "n", *[F.col(f"q50_{i}").alias(f"q_{i}") for i in range(p)],
+        *[F.greatest((F.col(f"q75_{i}") - F.col(f"q25_{i}")) / 1.349, F.lit(FLOOR[i] * UNIT)).alias(f"w_{i}") for i in range(p)],
+    ), "middle")
+    medians = {a: F.col(f"q_{i}") for i, a in enumerate(AXES)}
+    diagonal = {(i, j): F.col(f"w_{i}") * F.col(f"w_{j}") if i == j else F.lit(0.0) for i in range(p) for j in range(i + 1)}
+    found = [_factored(middle.withColumn("start_", F.lit(STARTS[0])), medians, diagonal)]
+
+    sums = _moments(rows, [F.col(f"x_{a}") for a in AXES]).withColumn("start_", F.lit(STARTS[1]))
+    found.append(_factored(sums, {a: F.col(f"s_{i}") / F.col("n") for i, a in enumerate(AXES)}, _scatter(p)))
+
+    z = rows.join(middle.drop("n"), ["lang_", "source_"]).select(
+        "lang_", "source_", *[((F.col(f"x_{a}") - F.col(f"q_{i}")) / F.col(f"w_{i}")).alias(f"z_{i}") for i, a in enumerate(AXES)]
+    )
+    long = F.sqrt(sum((F.col(f"z_{i}") * F.col(f"z_{i}") for i in range(p)), F.lit(0.0)))
+    for name, shrunk in (
+        (STARTS[2], lambda i: F.when(long > 0, F.col(f"z_{i}") / long * math.sqrt(p)).otherwise(F.lit(0.0))),
+        (STARTS[3], lambda i: F.tanh(f"z_{i}")),
+    ):
+        whole = z.select("lang_", "source_", *[F.round(shrunk(i) * UNIT).cast("long").alias(f"v_{i}") for i in range(p)])
+        sums = _moments(whole, [F.col(f"v_{i}") for i in range(p)]).join(middle.drop("n"), ["lang_", "source_"])
+        cov = {(i, j): c * F.col(f"w_{i}") * F.col(f"w_{j}") / UNIT**2 for (i, j), c in _scatter(p).items()}
+        found.append(_factored(sums.withColumn("start_", F.lit(name)), medians, cov))
+    return reduce(DataFrame.unionByName, found)
 
 
 def _concentrate(rows: DataFrame, groups: DataFrame, share: float) -> DataFrame:
@@ -222,9 +281,8 @@ def _concentrate(rows: DataFrame, groups: DataFrame, share: float) -> DataFrame:
     The nearest rows of a group are found from counts of distances in fine logarithmic bins,
     so no group is sorted; rows in the last bin are all taken.
     """
-    p = len(AXES)
-    keys = ["lang_", "source_"]
-    far = _distances(rows, groups).withColumn(
+    p, keys = len(AXES), list(KEYS)
+    far = _distances(rows, groups, "inner").withColumn(
         "bin", F.floor(F.log2(F.col("d2") + 1e-6) * BINS_PER_OCTAVE).cast("int")
     )
     counts = far.groupBy(*keys, "bin").count()
@@ -236,24 +294,32 @@ def _concentrate(rows: DataFrame, groups: DataFrame, share: float) -> DataFrame:
         .filter(F.col("upto") >= share * F.col("all"))
         .groupBy(*keys).agg(F.min("bin").alias("last"))
     )
-    last = written(last, "nearest")
-    inside = F.col("bin") <= F.col("last")
-    x = [F.col(f"x_{a}") for a in AXES]
-    sums = far.join(last, keys).groupBy(*keys).agg(
-        F.count(F.when(inside, 1)).alias("n"),
-        *[F.sum(F.when(inside, x[i])).cast("double").alias(f"s_{i}") for i in range(p)],
-        *[
-            F.sum(F.when(inside, (x[i] * x[j]).cast("decimal(38,0)"))).cast("double").alias(f"s_{i}_{j}")
-            for i in range(p) for j in range(i + 1)
-        ],
-    )
+    sums = _moments(far.join(last, keys), [F.col(f"x_{a}") for a in AXES], F.col("bin") <= F.col("last"))
     mean = {a: F.col(f"s_{i}") / F.col("n") for i, a in enumerate(AXES)}
     consistent = share / chi2_cdf(chi2_quantile(share, p), p + 2)
-    cov = {
-        (i, j): consistent * (F.col(f"s_{i}_{j}") / F.col("n") - F.col(f"s_{i}") * F.col(f"s_{j}") / F.col("n") / F.col("n"))
-        for i in range(p) for j in range(i + 1)
-    }
-    return _factored(sums, mean, cov)
+    return _factored(sums, mean, {at: consistent * c for at, c in _scatter(p).items()})
+
+
+def least_determinant(rows: DataFrame, share: float, most: int = MOST_STEPS) -> DataFrame:
+    """Per language and source the estimate of least determinant that any start converges to.
+
+    A start takes steps while its determinant falls, and keeps the last estimate that fell.
+    """
+    best = moving = _concentrate(rows, _starts(rows), share)
+    for _ in range(most):
+        new = _concentrate(rows, moving, share)
+        values = [c for c in new.columns if c not in KEYS]
+        old = best.select(*KEYS, F.struct(*values).alias("old"))
+        joined = old.join(new.select(*KEYS, F.struct(*values).alias("new")), list(KEYS), "left")
+        fell = F.coalesce(F.col("new.det") < F.col("old.det") - CONVERGED, F.lit(False))
+        judged = joined.select(*KEYS, F.when(fell, F.col("new")).otherwise(F.col("old")).alias("kept"), fell.alias("fell"))
+        judged = written(judged.select(*KEYS, "kept.*", "fell"), "best")
+        best, moving = judged.drop("fell"), judged.filter("fell").drop("fell")
+        if moving.isEmpty():
+            break
+    values = [c for c in best.columns if c not in KEYS]
+    least = best.groupBy("lang_", "source_").agg(F.min(F.struct("det", "start_", *[c for c in values if c != "det"])).alias("least"))
+    return written(least.select("lang_", "source_", "least.*"), "estimates")
 
 
 def quality_rules(
@@ -262,7 +328,6 @@ def quality_rules(
     lang_col: str = "lang",
     source_col: str = "source",
     share: float = SHARE,
-    steps: int = STEPS,
     level: float = LEVEL,
 ) -> DataFrame:
     """``docs`` without the text, with the base statistics, base_failed, distance2 and kept.
@@ -293,11 +358,9 @@ def quality_rules(
         "statistics",
     )
     passing = rows.filter("NOT base_failed").select("lang_", "source_", *[f"x_{a}" for a in AXES])
-    groups = _start(passing)
-    for _ in range(steps):
-        groups = _concentrate(passing, groups, share)
+    groups = least_determinant(passing, share)
     limit = chi2_quantile(level, len(AXES))
-    judged = _distances(rows, groups)
+    judged = _distances(rows, groups.drop("start_"))
     names = [c for c in stats.columns]
     return judged.select(
         *[F.col(f"`{c}`") for c in names],

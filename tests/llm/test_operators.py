@@ -398,3 +398,9 @@ def test_pipeline_keeps_unlinked_rows_of_one_id(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     got = Counter((r.doc_id, r.text) for r in p.near_duplicates(spark, docs, "").collect())
     assert got == Counter([(1, a), (2, b), (3, c), (3, d), (None, e), (None, f)])
+def test_op9_rejects_a_third_of_junk(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"{rng.choice('abcdef') * rng.randrange(2, 8)}{k}" for k in range(rng.randrange(60, 300))), "en", "s") for i in range(200)]
+    rows += [(1000 + i, " ".join(f"w{rng.randrange(10**6)}###" for _ in range(100)), "en", "s") for i in range(100)]
+    judged = quality.quality_rules(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string"))
+    assert {r.doc_id for r in judged.filter("NOT kept").collect()} == set(range(1000, 1100))
