@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,6 +25,14 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def private_names(*tables: DataFrame) -> Callable[[str], str]:
+    """Gives a name the prefix of underscores that no column of ``tables`` begins with."""
+    prefix = "_"
+    while any(c.startswith(prefix) for table in tables for c in table.columns):
+        prefix += "_"
+    return lambda name: prefix + name
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder for written tables in the checkpoint folder that all executors share."""
     ensure_checkpoint_dir(spark)

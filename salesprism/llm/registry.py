@@ -3,6 +3,7 @@
 import corpus_pipeline
 
 from salesprism.llm.decontaminate import op3_decontaminate
+from salesprism.llm.exact_dedup import OP12_SQL, op12_exact_dedup
 from salesprism.llm.html_text import op5_main_text
 from salesprism.llm.line_dedup import OP10_SQL, op10_line_dedup
 from salesprism.llm.packing import op7_best_fit_packing
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_quality_rules": op9_quality_rules,
     "op10_line_dedup": op10_line_dedup,
+    "op12_exact_dedup": op12_exact_dedup,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op10_line_dedup": OP10_SQL}
+ORACLES = {"op10_line_dedup": OP10_SQL, "op12_exact_dedup": OP12_SQL}
