@@ -13,6 +13,7 @@ from salesprism.llm.substring_dedup import op2_substring_dedup
 from salesprism.llm.suffix_dedup import op1_suffix_array_dedup
 from salesprism.llm.token_counts import op4_token_counts
 from salesprism.llm.warc import op6_warc
+from salesprism.llm.whitening import op13_whitening
 
 QUERIES = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_line_dedup": op10_line_dedup,
     "op12_exact_dedup": op12_exact_dedup,
+    "op13_whitening": op13_whitening,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {"op10_line_dedup": OP10_SQL, "op12_exact_dedup": OP12_SQL}
