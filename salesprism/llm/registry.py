@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 
+from salesprism.llm.collocations import OP11_SQL, op11_collocations
 from salesprism.llm.decontaminate import op3_decontaminate
 from salesprism.llm.exact_dedup import OP12_SQL, op12_exact_dedup
 from salesprism.llm.html_text import op5_main_text
@@ -26,8 +27,9 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_quality_rules": op9_quality_rules,
     "op10_line_dedup": op10_line_dedup,
+    "op11_collocations": op11_collocations,
     "op12_exact_dedup": op12_exact_dedup,
     "op13_whitening": op13_whitening,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op10_line_dedup": OP10_SQL, "op12_exact_dedup": OP12_SQL}
+ORACLES = {"op10_line_dedup": OP10_SQL, "op11_collocations": OP11_SQL, "op12_exact_dedup": OP12_SQL}
