@@ -16,12 +16,9 @@ from salesprism.llm.decontaminate import matches
 from salesprism.llm.line_dedup import drop_repeated_lines
 from salesprism.llm.packing import pack_documents
 from salesprism.llm.quality import quality_rules
-from salesprism.llm.simhash import similar_components
+from salesprism.llm.simhash import simhash_components
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-SHINGLE = 5
-NEAR_BITS = 12
-SIMILARITY = 0.8
 
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
@@ -47,19 +44,18 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the row with the smallest id (null last) and text hash.
 
-    Linked are documents whose fingerprints of 5-word shingles lie within ``NEAR_BITS`` bits, a
-    fifth of all, and whose sets of shingles have a Jaccard similarity of ``SIMILARITY`` or more.
+    Linked are documents whose fingerprints of word triples differ in two bits or fewer: the shingle
+    length and the bits of the operator's contract.
     """
     docs = docs.select(*COLUMNS)
-    groups = similar_components(docs, SHINGLE, NEAR_BITS, SIMILARITY)
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
-    first = groups.groupBy("component").agg(F.min(order).alias("first")).select(
-        F.col("first.doc_id").alias("id_"), F.col("first.row").alias("row_")
+    row = F.xxhash64("text").alias("row")
+    name = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", row).alias("name")
+    first = simhash_components(docs.select(name, "text"), "name").select("component_id").distinct().select(
+        F.col("component_id.doc_id").alias("id_"), F.col("component_id.row").alias("row_")
     )
     here = docs.doc_id.eqNullSafe(first.id_) & (F.xxhash64(docs.text) == first.row_)
     kept = docs.join(first, here, "left_semi")
     # Rows of the same id and text are one component; only they are still there more than once.
-    row = F.xxhash64("text").alias("row")
     repeated = docs.groupBy("doc_id", row).count().filter("count > 1")
     return kept if repeated.isEmpty() else kept.withColumn("row", row).dropDuplicates(["doc_id", "row"]).drop("row")
 
