@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from fractions import Fraction
-from hashlib import blake2b
 from itertools import combinations
 from math import comb
 
@@ -14,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from salesprism.llm.common import chunks, connected_components, read, utf8, written
+from salesprism.llm.common import connected_components, read, utf8, written
 
 SHINGLE = 3
 SEED = 42
@@ -24,11 +22,8 @@ LIGHT = 64  # members of a cell up to which its pairs are listed
 MAX_GRIDS = 128
 SHARD = 1 << 18  # points of a shard; shards are compared two by two
 SPREAD = 8  # shards of smaller tables, so that the comparisons are spread
-LEADERS = 4
 _BLOCK_ROWS = 1 << 16
 _COMPARED = 1 << 17
-_PART_BYTES = 2 << 20
-_PERMUTED = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA24BAED4963EE407, 0x9FB21C651E98DF25], np.uint64)
 
 
 def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -140,43 +135,29 @@ def _close(a: np.ndarray, b: np.ndarray, max_bits: int) -> Iterator[tuple[np.nda
             yield hits // len(b) + at, hits % len(b)
 
 
-def close_pairs(points: DataFrame, n: int, max_bits: int, similarity: float | None = None) -> DataFrame:
-    """(src, dst): all pairs of ``points`` (node, fp, label) of other label within ``max_bits`` bits.
+def close_pairs(points: DataFrame, n: int, max_bits: int) -> DataFrame:
+    """(src, dst): all pairs of the column fp of ``points`` within ``max_bits`` bits.
 
     Exact for any ``max_bits``. The ``n`` points are dealt to shards of bounded size and every two
-    shards meet in a cell, so no task holds more than two shards; the work is the square of ``n``. With ``similarity``
-    pairs that cannot reach it are left out: points have the size of their set of hashes and its
-    parity bits, which differ in no more places than the sets have hashes that they do not share.
+    shards meet in a cell, so no task holds more than two shards; the work is the square of ``n``.
+    Radii of up to two bits, the operator's default, never come here.
     """
-    num, den = share_of(similarity or 0)
-    extra = ["size", "parity"] if similarity else []
     shards = max(-(-n // SHARD), min(SPREAD, -(-n // 4096)), 1)
-    own = F.pmod(F.xxhash64("node"), F.lit(shards))
-    dealt = points.select("node", "fp", "label", *extra, own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("other")).select(
+    own = F.pmod(F.xxhash64("fp"), F.lit(shards))
+    dealt = points.select("fp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("other")).select(
         (F.least("own", "other") * shards + F.greatest("own", "other")).cast("long").alias("cell"),
-        (F.col("own") > F.col("other")).alias("second"), "node", "fp", "label", *extra,
+        (F.col("own") > F.col("other")).alias("second"), "fp",
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell, rows in _cells(batches):
-            second = rows["second"].to_numpy()
-            node, fp, label = (rows[c].to_numpy() for c in ("node", "fp", "label"))
+            second, fp = rows["second"].to_numpy(), rows["fp"].to_numpy()
             within = cell // shards == cell % shards
-            if extra:
-                sizes = rows["size"].to_numpy().astype(np.int64)
-                parity = np.frombuffer(b"".join(rows["parity"].to_pylist()), np.uint64).reshape(len(node), -1)
-            left = np.arange(len(node)) if within else np.flatnonzero(~second)
+            left = np.arange(len(fp)) if within else np.flatnonzero(~second)
             right = left if within else np.flatnonzero(second)
             for i, j in _close(fp[left].view(np.uint64), fp[right].view(np.uint64), max_bits):
-                some = label[left[i]] != label[right[j]]
-                if within:
-                    some &= i < j
-                if extra:
-                    i, j = i[some], j[some]
-                    a, b = sizes[left[i]], sizes[right[j]]
-                    apart = np.bitwise_count(parity[left[i]] ^ parity[right[j]]).sum(axis=1, dtype=np.int64)
-                    some = (np.minimum(a, b) * den >= np.maximum(a, b) * num) & (apart * (den + num) <= (a + b) * (den - num))
-                a, b = node[left[i[some]]], node[right[j[some]]]
+                some = i < j if within else np.ones(len(i), bool)
+                a, b = fp[left[i[some]]], fp[right[j[some]]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["src", "dst"])
 
     parts = min(shards * (shards + 1) // 2, 4096)
@@ -197,7 +178,7 @@ def links(fps: DataFrame, n: int, max_bits: int = MAX_BITS, light: int = LIGHT)
     in shards of bounded size, and all points are where grids would list too many pairs.
     """
     if not grids_serve(n, max_bits, light):
-        return close_pairs(fps.select(F.col("fp").alias("node"), "fp", F.col("fp").alias("label")), n, max_bits)
+        return close_pairs(fps, n, max_bits)
     cells = fps.select(
         "fp",
         F.explode(
@@ -221,8 +202,7 @@ def links(fps: DataFrame, n: int, max_bits: int = MAX_BITS, light: int = LIGHT)
     crowded = shared.filter(F.col("members") > light).select("fp").distinct()
     if max_bits != 2:
         crowded = written(crowded, "crowded")
-        points = crowded.select(F.col("fp").alias("node"), "fp", F.col("fp").alias("label"))
-        return near.union(close_pairs(points, crowded.count(), max_bits)).distinct()
+        return near.union(close_pairs(crowded, crowded.count(), max_bits)).distinct()
     flips = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit((1 << i) - ((1 << 64) if i == 63 else 0))) for i in range(64)])
     met = (
         crowded.select("fp", F.explode(flips).alias("centre"))
@@ -262,109 +242,6 @@ def simhash_components(
     return fps.join(names, "fp").select("doc_id", "fp", "component_id")
 
 
-def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, row, fp, node, size, least, parity, shingles) of ``docs`` (doc_id, row, text).
-
-    ``shingles`` are the sorted distinct hashes, ``size`` their number, ``least`` the least of them
-    under a few permutations, ``parity`` whether an odd number of them ends in each byte, and ``node`` is the same for equal shingles and fingerprint.
-    """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = utf8(batch.column(2))
-            for at, end in chunks(map(len, texts), _PART_BYTES):
-                fps, nodes, sizes, least, parity, sets = [], [], [], [], [], []
-                for text in texts[at:end]:
-                    hashes = shingle_hashes(text, shingle)
-                    distinct = np.unique(hashes.view("<u8").ravel())
-                    fps.append(majority(hashes) if len(hashes) else 0)
-                    sets.append(distinct.tobytes())
-                    sizes.append(len(distinct))
-                    least.append((distinct[:, None] * _PERMUTED).min(axis=0).view(np.int64).tolist() if len(distinct) else [])
-                    parity.append(np.packbits(np.bincount((distinct & np.uint64(255)).astype(np.int64), minlength=256) & 1).tobytes())
-                    name = blake2b(sets[-1] + fps[-1].to_bytes(8, "little", signed=True), digest_size=8).digest()
-                    nodes.append(int.from_bytes(name, "little", signed=True))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(at, end - at), batch.column(1).slice(at, end - at), pa.array(fps, pa.int64()),
-                        pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()),
-                        pa.array(least, pa.list_(pa.int64())), pa.array(parity, pa.binary()), pa.array(sets, pa.binary()),
-                    ],
-                    ["doc_id", "row", "fp", "node", "size", "least", "parity", "shingles"],
-                )
-
-    kind = docs.dtypes[0][1]
-    return docs.mapInArrow(
-        run, f"doc_id {kind}, row bigint, fp bigint, node bigint, size int, least array<bigint>, parity binary, shingles binary"
-    )
-
-
-def share_of(similarity: float) -> tuple[int, int]:
-    """Numerator and denominator of a share written in decimals."""
-    share = Fraction(str(similarity))
-    return share.numerator, share.denominator
-
-
-def verified(pairs: DataFrame, sets: DataFrame, max_bits: int, similarity: float) -> DataFrame:
-    """The ``pairs`` (src, dst) within ``max_bits`` bits and of Jaccard similarity ``similarity`` or more."""
-    num, den = share_of(similarity)
-
-    def side(s):
-        return sets.select(F.col("node").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("fp", "size", "shingles")])
-
-    bits = F.bit_count(F.col("src_fp").bitwiseXOR(F.col("dst_fp")))
-    sizes = F.least("src_size", "dst_size").cast("long") * den >= F.greatest("src_size", "dst_size").cast("long") * num
-    met = pairs.join(side("src"), "src").join(side("dst"), "dst").filter((bits <= max_bits) & sizes)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = []
-            for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = np.frombuffer(a.as_buffer(), "<u8"), np.frombuffer(b.as_buffer(), "<u8")
-                common = len(np.intersect1d(a, b, assume_unique=True))
-                kept.append(common * (den + num) >= num * (len(a) + len(b)))
-            mask = pa.array(kept, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(mask) for i in (0, 1)], ["src", "dst"])
-
-    return met.select("src", "dst", "src_shingles", "dst_shingles").mapInArrow(run, "src bigint, dst bigint")
-
-
-def similar_components(
-    docs: DataFrame, shingle: int, max_bits: int, similarity: float, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """(doc_id, row, component): row is the text's hash, component the same for rows linked directly or over others.
-
-    Two rows are linked if their fingerprints differ in ``max_bits`` or fewer bits and the Jaccard
-    similarity of their distinct word shingles is ``similarity`` or more (64-bit hashes stand for
-    shingles; blank texts are equal). Rows of equal shingles and fingerprint are one node. Nodes
-    that share a least hash are first linked to a few of them, if they pass; then all pairs of
-    nodes within ``max_bits`` that are not connected yet are verified, so a large group of near
-    copies does not list all its pairs and no pair is left out.
-    """
-    rows = written(
-        shingle_sets(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("row"), F.col(text_col)), shingle), "shingles"
-    )
-    sets = rows.select("node", "fp", "size", "shingles").dropDuplicates(["node"])
-    nodes = written(rows.groupBy("node").agg(F.first("fp").alias("fp"), *[F.first(c).alias(c) for c in ("least", "size", "parity")]), "nodes")
-    stars = nodes.select("node", "fp", F.posexplode("least").alias("place", "value"))
-    drawn = [F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("draw"), "node", "fp")).alias(f"d{i}") for i in range(LEADERS)]
-    leaders = stars.groupBy("place", "value").agg(F.count("*").alias("members"), *drawn).filter("members > 1").select(
-        "place", "value", F.explode(F.array_distinct(F.array(*[F.struct(f"d{i}.node", f"d{i}.fp") for i in range(LEADERS)]))).alias("to")
-    )
-    drawn = (
-        stars.join(leaders, ["place", "value"])
-        .filter((F.col("to.node") != F.col("node")) & (F.bit_count(F.col("to.fp").bitwiseXOR(F.col("fp"))) <= max_bits))
-        .select(F.least("node", "to.node").alias("src"), F.greatest("node", "to.node").alias("dst")).distinct()
-    )
-    early = written(verified(drawn, sets, max_bits, similarity), "early")
-    known = connected_components(early).withColumnRenamed("node", "node_")
-    points = nodes.join(known, nodes.node == known.node_, "left").select("node", "fp", "size", "parity", F.coalesce("label", "node").alias("label"))
-    pairs = written(close_pairs(points, nodes.count(), max_bits, similarity), "pairs")
-    late = verified(pairs, sets, max_bits, similarity)
-    labels = connected_components(written(early.union(late), "links")).withColumnRenamed("node", "node_")
-    names = written(nodes.join(labels, nodes.node == labels.node_, "left").select("node", F.coalesce("label", "node").alias("component")), "components")
-    return rows.select("doc_id", "row", "node").join(names, "node").select("doc_id", "row", "component")
-
-
 def op8_simhash(spark, sf_dir):
     out = simhash_components(read(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
