@@ -8,27 +8,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from salesprism import schema
-from salesprism.operators.ordered import exact_median
+from salesprism.models.statistics import quantiles
 
 
 def fill_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Missing values become the column's exact median; a column without values stays missing."""
-    return df.withColumns({c: F.coalesce(F.col(c), exact_median(df, c).scalar()) for c in columns})
+    """Missing values become the column's exact median; a column without values stays missing.
+
+    The medians of all columns come from the same passes, made when this is called.
+    """
+    medians = quantiles(df, dict.fromkeys(columns, 0.5))
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(m)) for c, m in medians.items() if m is not None})
 
 
 def standardise(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Mean 0 and population deviation 1 per column; a constant column becomes 0."""
+    """Mean 0 and population deviation 1 per column; a constant column becomes 0.
+
+    One aggregate for all columns, joined as a single row when the result is computed.
+    """
+    facts = df.agg(F.struct(*[F.struct(F.avg(c).alias("mean"), F.stddev_pop(c).alias("spread")).alias(c) for c in columns])).scalar()
+
     def scaled(c: str) -> Column:
-        mean, spread = df.agg(F.avg(c)).scalar(), df.agg(F.stddev_pop(c)).scalar()
-        return (F.col(c) - mean) / F.when(spread == 0, F.lit(1.0)).otherwise(spread)
+        spread = facts[c]["spread"]
+        return (F.col(c) - facts[c]["mean"]) / F.when(spread == 0, F.lit(1.0)).otherwise(spread)
 
     return df.withColumns({c: scaled(c) for c in columns})
 
 
 def region_vectors(df: DataFrame, regions: Sequence[str] = schema.REGIONS, suffix: str = "_Part") -> DataFrame:
-    """Each region's part of the row's regional sum; all 0 for rows that sold nothing anywhere."""
-    whole = sum((F.col(c) for c in regions[1:]), F.col(regions[0]))
-    return df.withColumns({c + suffix: F.when(whole > 0, F.col(c) / whole).otherwise(F.lit(0.0)) for c in regions})
+    """Each region's part of the row's regional sum, a missing one counting 0; all 0 for rows that sold nothing."""
+    sold = {c: F.coalesce(F.col(c), F.lit(0.0)) for c in regions}
+    whole = sum(sold.values(), F.lit(0.0))
+    return df.withColumns({c + suffix: F.when(whole > 0, v / whole).otherwise(F.lit(0.0)) for c, v in sold.items()})
 
 
 def spread_id(id_col: str, modulus: int = 1000) -> Column:
