@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from salesprism import jobs, schema
-from salesprism.models import clusters, imputation, outliers
-from salesprism.operators import charts, market
+from salesprism.functions.text import feature_label
+from salesprism.models import attribution, bands, clusters, imputation, outliers, segments, similar, supervised
+from salesprism.operators import charts, evaluation, market
 from salesprism.plans.raw_listing import raw_listing
 from salesprism.workload.cleaning import AS_OF, named, on_raw
-from salesprism.workload.registry import on_titles, query
+from salesprism.workload.registry import on_titles, query, quoted
 
 SCORES = ("Critic_Score", "User_Score")
 
@@ -82,3 +83,173 @@ def _(spark, sf_dir):
 @query("clean_table")
 def _(spark, sf_dir):
     return jobs.clean_table(raw_listing(spark, sf_dir), AS_OF)
+
+
+GROUPED = f"""top30 AS (SELECT Publisher FROM titles GROUP BY 1 ORDER BY count(*) DESC, Publisher LIMIT 30),
+prepared AS (SELECT t.*, CASE WHEN Publisher IN (SELECT Publisher FROM top30) THEN Publisher ELSE {quoted(schema.OTHER_PUBLISHER)} END
+    AS "Publisher_Grouped" FROM titles t)"""
+FEATURES = ("Genre", "Platform_Family", "Publisher_Grouped")
+
+
+@on_titles(
+    "prepared_features",
+    f""", {GROUPED} SELECT ingest_id, {named(FEATURES)}, CAST(Year AS DOUBLE) AS "Year", CAST(Decade AS DOUBLE) AS "Decade" FROM prepared""",
+)
+def _(t):
+    return supervised.prepare_features(t).select("ingest_id", *FEATURES, "Year", "Decade")
+
+
+@on_titles(
+    "feature_labels",
+    "SELECT DISTINCT 'num__Year' AS name, '年份' AS label FROM titles UNION SELECT 'cat__Genre_' || Genre, '类型:' || Genre FROM titles"
+    " UNION SELECT 'Platform_Family_' || Platform_Family, '平台:' || Platform_Family FROM titles",
+)
+def _(t):
+    genre = t.select(F.concat(F.lit("cat__Genre_"), "Genre").alias("name"))
+    family = t.select(F.concat(F.lit("Platform_Family_"), "Platform_Family").alias("name"))
+    names = t.select(F.lit("num__Year").alias("name")).union(genre).union(family).distinct()
+    return names.select("name", feature_label(F.col("name")).alias("label"))
+
+
+def predicted_sales(t):
+    """The prepared titles with a prediction and the part each belongs to."""
+    ready = supervised.prepare_features(t)
+    fitted = supervised.fit_regression(ready, schema.INGEST_ID)
+    return fitted, fitted.predict(ready).withColumn("part", supervised.three_parts(schema.INGEST_ID))
+
+
+@on_titles("sales_predictions")
+def _(t):
+    return predicted_sales(t)[1].select("ingest_id", "part", "Global_Sales", "predicted")
+
+
+@on_titles("sales_prediction_scores")
+def _(t):
+    fitted, scored = predicted_sales(t)
+    scores = evaluation.regression_metrics(scored.filter("part = 'test'"), "Global_Sales", "predicted")
+    return scores.withColumn("trees_used", F.lit(fitted.trees_used))
+
+
+@on_titles("sales_prediction_samples")
+def _(t):
+    """The first 25 test titles with prediction and band."""
+    ready = supervised.prepare_features(t)
+    scored = bands.fit_bands(ready, schema.INGEST_ID).predict(predicted_sales(t)[1])
+    columns = ("ingest_id", "Name", "Platform_Family", "Genre", "Year", "Global_Sales", "predicted", "p10", "p50", "p90")
+    return scored.filter("part = 'test'").select(*columns).orderBy("ingest_id").limit(25)
+
+
+@on_titles("feature_importance")
+def _(t):
+    return predicted_sales(t)[0].importance(t.sparkSession)
+
+
+@on_titles("feature_attribution")
+def _(t):
+    fitted, scored = predicted_sales(t)
+    inputs = [*supervised.NUMERIC, *supervised.CATEGORICAL]
+    background = scored.filter("part = 'train'").orderBy(F.xxhash64(schema.INGEST_ID)).limit(attribution.BACKGROUND)
+    values = attribution.shapley_values(scored.filter("part = 'test'").select(*inputs), background, fitted.predict)
+    return attribution.mean_attribution(values)
+
+
+@on_titles("sales_band_summary")
+def _(t):
+    """Means and medians of the bands, and what share of the test titles lies inside."""
+    ready = supervised.prepare_features(t)
+    scored = bands.fit_bands(ready, schema.INGEST_ID).predict(ready)
+    test = scored.filter(supervised.three_parts(schema.INGEST_ID) == "test")
+    levels = ("p10", "p50", "p90")
+    inside = F.avg(F.col("Global_Sales").between(F.col("p10"), F.col("p90")).cast("double")).alias("coverage")
+    return test.agg(*[F.avg(c).alias(f"{c}_mean") for c in levels], *[F.median(c).alias(f"{c}_median") for c in levels], inside)
+
+
+def hit_chances(t):
+    ready = supervised.prepare_features(t)
+    fitted = supervised.fit_hits(ready, schema.INGEST_ID, hit=HIT_SALES)
+    label = (F.col("Global_Sales") >= HIT_SALES).cast("int")
+    scored = fitted.predict(ready).withColumn("label", label)
+    return scored.filter(supervised.three_parts(schema.INGEST_ID) == "test")
+
+
+# Nearly all titles of these tables pass the usual threshold of 1.
+HIT_SALES = 10.0
+
+
+@on_titles("hit_probabilities")
+def _(t):
+    return hit_chances(t).select("ingest_id", "label", "prob")
+
+
+@on_titles("hit_scores")
+def _(t):
+    return evaluation.classification_metrics(hit_chances(t))
+
+
+@on_titles("hit_report")
+def _(t):
+    return evaluation.classification_report(hit_chances(t))
+
+
+@on_titles("hit_calibration")
+def _(t):
+    return evaluation.calibration_curve(hit_chances(t))
+
+
+@on_titles("likeliest_hits_fitted")
+def _(t):
+    columns = ("ingest_id", "Name", "Platform_Family", "Genre", "Year", "prob")
+    return evaluation.likeliest(hit_chances(t).select(*columns), "ingest_id")
+
+
+@on_titles(
+    "similar_titles",
+    f""", {GROUPED}, filled AS (SELECT *, coalesce(Composite_Score, (SELECT quantile_cont(Composite_Score, 0.5) FROM titles)) AS cs,
+        CAST(Year AS DOUBLE) AS yr FROM prepared),
+    m AS (SELECT avg(cs) AS ma, stddev_pop(cs) AS sa, avg(yr) AS mb, stddev_pop(yr) AS sb FROM filled),
+    z AS (SELECT *, (cs - ma) / sa AS za, (yr - mb) / sb AS zb FROM filled, m),
+    v AS (SELECT *, sqrt(za * za + zb * zb + 6) AS norm FROM z),
+    best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY Name ORDER BY Global_Sales DESC, ingest_id) AS nth FROM v)
+        WHERE nth = 1 ORDER BY Global_Sales DESC, ingest_id LIMIT 10),
+    pairs AS (SELECT a.ingest_id AS anchor_id, a.Name AS anchor, b.ingest_id AS candidate_id, b.Name AS candidate, round((b.za * a.za + b.zb * a.zb
+        + CASE WHEN a.Genre = b.Genre THEN 4 ELSE 0 END + CASE WHEN a.Platform_Family = b.Platform_Family THEN 1 ELSE 0 END
+        + CASE WHEN a.Publisher_Grouped = b.Publisher_Grouped THEN 1 ELSE 0 END) / (b.norm * a.norm), 9) AS similarity,
+        a.Genre = b.Genre AS genre_match FROM best a, v b),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY similarity DESC, candidate_id) AS nth FROM pairs)
+    SELECT anchor_id, anchor, candidate_id, candidate, round(greatest(similarity, 0), 6) AS similarity, genre_match
+    FROM ranked WHERE nth <= 11 AND 1 - similarity >= 0.00001 AND candidate <> anchor""",
+)
+def _(t):
+    found = similar.similar_titles(supervised.prepare_features(t))
+    return found.select("anchor_id", "anchor", "candidate_id", "candidate", "similarity", "genre_match")
+
+
+@query(
+    "similar_vectors",
+    """WITH a AS (SELECT * FROM embeddings WHERE embedding IS NOT NULL ORDER BY vec_id LIMIT 10),
+    p AS (SELECT a.vec_id AS anchor_id, b.vec_id, round(list_dot_product(b.embedding::DOUBLE[], a.embedding::DOUBLE[])
+        / (sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])) * sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]))), 9)
+        AS similarity FROM a, embeddings b WHERE b.embedding IS NOT NULL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY similarity DESC, vec_id) AS position FROM p)
+    SELECT anchor_id, CAST(position AS INTEGER) AS position, vec_id, round(similarity, 6) AS similarity FROM r WHERE position <= 11""",
+)
+def _(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return similar.similar_vectors(table, table.filter("embedding IS NOT NULL").orderBy("vec_id").limit(10), "vec_id", "embedding")
+
+
+def behavior(t):
+    fitted = segments.fit_segments(t)
+    return fitted, segments.segment_profiles(fitted.assign(t))
+
+
+@on_titles("behavior_segments")
+def _(t):
+    fitted, profiles = behavior(t)
+    return profiles.withColumns({"bic": F.lit(fitted.bic), "aic": F.lit(fitted.aic)})
+
+
+@on_titles("tagged_segments")
+def _(t):
+    regional = clusters.region_segments(clusters.fit_region_clusters(t, k=4).assign(t))
+    return segments.tagged_segments(regional, behavior(t)[1])

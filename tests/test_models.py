@@ -170,3 +170,142 @@ def test_clusters_of_small_tables(spark):
     tiny = to_spark(spark, np.ones((25, 4)), regions)
     assert clusters.cluster_regions(tiny).filter(F.col("Regional_Cluster").isNotNull()).count() == 0
     assert clusters.cluster_regions(tiny.limit(0)).count() == 0
+
+
+def sold_titles(spark, n=1500):
+    rng = np.random.default_rng(9)
+    genre, family = rng.integers(0, 6, n), rng.integers(0, 5, n)
+    year = rng.integers(1990, 2010, n)
+    sales = np.exp(genre / 3 - family / 4 + (year - 2000) / 15 + rng.normal(0, 0.3, n)) * 0.6
+    rows = [
+        (i, f"Genre {g}" if g else None, f"Family {f}", f"Publisher {min(i % 97, i % 13)}" if i % 11 else None, int(y) if i % 9 else None, int(y) // 10 * 10, float(s))
+        for i, (g, f, y, s) in enumerate(zip(genre, family, year, sales, strict=True))
+    ]
+    return spark.createDataFrame(rows, "ingest_id long, Genre string, Platform_Family string, Publisher string, Year int, Decade int, Global_Sales double")
+
+
+@pytest.fixture(scope="module")
+def prepared(spark):
+    from salesprism.models import supervised
+
+    return supervised.prepare_features(sold_titles(spark), publishers=5)
+
+
+def test_features_have_no_gaps(prepared):
+    table = prepared.toPandas()
+    assert not table[["Year", "Decade", "Genre", "Platform_Family", "Publisher_Grouped"]].isna().any().any()
+    counts = table["Publisher"].value_counts()
+    top = sorted(counts.index, key=lambda p: (-counts[p], p))[:5]
+    assert (table["Publisher_Grouped"] == table["Publisher"].where(table["Publisher"].isin(top), "OtherPublisher")).all()
+
+
+def test_regression_predicts_every_row(spark, prepared):
+    from salesprism.models import supervised
+    from salesprism.operators import evaluation
+
+    fitted = supervised.fit_regression(prepared, "ingest_id", trees=25)
+    scored = fitted.predict(prepared).withColumn("part", supervised.three_parts("ingest_id"))
+    assert scored.filter("predicted is null").count() == 0 and scored.count() == prepared.count()
+    unseen = prepared.limit(3).withColumn("Genre", F.lit("never seen"))
+    assert fitted.predict(unseen).filter("predicted is not null").count() == 3
+    r2 = evaluation.regression_metrics(scored.filter("part = 'test'"), "Global_Sales", "predicted").first().r2
+    assert r2 > 0.5
+    shares = fitted.importance(spark).collect()
+    assert sum(r.importance for r in shares) == pytest.approx(1) and shares[0].feature == "类型"
+    assert supervised.fit_regression(prepared.withColumn("Global_Sales", F.lit(1.0)), "ingest_id") is None
+    assert supervised.fit_regression(prepared.limit(10), "ingest_id") is None
+
+
+def test_calibration_is_monotone_and_no_worse(prepared):
+    from salesprism.models import supervised
+
+    fitted = supervised.fit_hits(prepared, "ingest_id", trees=10)
+    for _, calibration in fitted.folds:
+        assert (np.diff(calibration.predictions.toArray()) >= -1e-12).all()
+    scored = fitted.predict(prepared).withColumn("part", supervised.three_parts("ingest_id")).filter("part = 'test'").toPandas()
+    hit = (scored["Global_Sales"] >= 1).astype(float)
+    assert scored["prob"].between(0, 1).all()
+    assert ((scored["prob"] - hit) ** 2).mean() <= ((scored["prob_raw"] - hit) ** 2).mean() + 0.005
+    assert supervised.fit_hits(prepared.withColumn("Global_Sales", F.lit(5.0)), "ingest_id") is None
+
+
+def test_similar_vectors_against_numpy(spark):
+    from salesprism.models import similar
+
+    rng = np.random.default_rng(2)
+    x = np.vstack([rng.normal(size=(60, 5)), np.zeros((1, 5))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(99, None)], "id long, vec array<double>").repartition(4)
+    got = similar.similar_vectors(df, df.filter("id < 3"), "id", "vec", k=7).collect()
+    norm = np.linalg.norm(x, axis=1)
+    for a in range(3):
+        sims = np.round(np.divide(x @ x[a], norm * norm[a], out=np.zeros(61), where=norm > 0), 9)
+        want = sorted(range(61), key=lambda i: (-sims[i], i))[:7]
+        assert [r.id for r in sorted((r for r in got if r.anchor_id == a), key=lambda r: r.position)] == want
+    with pytest.raises(ValueError):
+        similar.nearest_rows(df, spark.range(2000), F.lit(1.0), 3, "id")
+
+
+def test_mixture_finds_planted_segments(spark):
+    from salesprism.models import segments
+
+    group, x = planted(800)
+    regions = ["NA_Sales", "EU_Sales", "JP_Sales", "Other_Sales"]
+    rng = np.random.default_rng(1)
+    age = group * 10 + rng.normal(0, 0.5, len(group))
+    table = np.column_stack([x, age, np.where(group % 2, 8.0, 3.0) + rng.normal(0, 0.1, len(group)), x.sum(axis=1)])
+    columns = (*regions, "Age_Years", "Composite_Score", "Global_Sales")
+    df = to_spark(spark, table, columns).withColumns({"Genre": F.lit("g"), "Platform_Family": F.lit("f")})
+    fitted = segments.fit_segments(df, k=4)
+    out = fitted.assign(df).toPandas().sort_values("ingest_id")
+    probs = np.array(out["cluster_probs"].tolist())
+    assert np.abs(probs.sum(axis=1) - 1).max() < 1e-9
+    pairs = set(zip(group[out["ingest_id"]], out["behavior_cluster"], strict=True))
+    assert len(pairs) <= 6  # nearly each planted group is one segment
+    assert fitted.aic < fitted.bic and fitted.parameters == 3 + 12 + 24
+    profiles = segments.segment_profiles(fitted.assign(df)).toPandas()
+    assert profiles["size"].sum() == 800 and profiles["purity"].between(0.5, 1).all()
+    assert segments.fit_segments(df.limit(30)) is None
+    longer = segments.fit_segments(df, k=4, steps=20, restarts=1).likelihoods[0]
+    assert longer >= segments.fit_segments(df, k=4, steps=5, restarts=1).likelihoods[0] - 1e-6
+
+
+def test_bands_cover_and_do_not_cross(prepared):
+    from salesprism.models import bands, supervised
+
+    fitted = bands.fit_bands(prepared, "ingest_id")
+    scored = fitted.predict(prepared).filter(supervised.three_parts("ingest_id") == "test").toPandas()
+    assert (scored["p10"] <= scored["p50"]).all() and (scored["p50"] <= scored["p90"]).all()
+    inside = scored["Global_Sales"].between(scored["p10"], scored["p90"]).mean()
+    assert 0.72 < inside < 0.95
+    assert np.allclose(fitted.shares.sum(axis=2)[fitted.shares.sum(axis=2) > 0], 1)
+
+
+def test_shapley_values_of_a_known_function(spark):
+    from itertools import permutations
+
+    from salesprism.models import attribution
+
+    rows = spark.createDataFrame([(1.0, 2.0, "a"), (1.0, 2.0, "a"), (3.0, -1.0, "b"), (0.0, 0.0, None)], "x double, y double, c string")
+    background = spark.createDataFrame([(0.5, 1.0, "a"), (2.0, 0.0, "b"), (1.0, 1.0, "c")], "x double, y double, c string")
+
+    def f(x, y, c):
+        return x * y + (2.0 if c == "a" else 0.0) * x
+
+    def predict(df):
+        return df.withColumn("predicted", F.col("x") * F.col("y") + F.when(F.col("c") == "a", 2.0).otherwise(0.0) * F.col("x"))
+
+    got = attribution.shapley_values(rows, background, predict, ("x", "y", "c")).collect()
+    others = [tuple(r) for r in background.collect()]
+    assert sorted(r.rows for r in got) == [1, 1, 2]
+    for r in got:
+        own, want = (r.x, r.y, r.c), np.zeros(3)
+        for order in permutations(range(3)):
+            for b in others:
+                point = list(b)
+                for i in order:
+                    before = f(*point)
+                    point[i] = own[i]
+                    want[i] += (f(*point) - before) / 6 / len(others)
+        assert np.allclose(r.phi, want) and math.isclose(sum(r.phi), r.predicted - r.base, abs_tol=1e-9)
+    top = attribution.mean_attribution(attribution.shapley_values(rows, background, predict, ("x", "y", "c")), ("x", "y", "c")).collect()
+    assert len(top) == 3 and top[0].attribution >= top[1].attribution >= top[2].attribution
