@@ -52,15 +52,15 @@ def gram_hashes(units: np.ndarray, k: int) -> np.ndarray:
 def runs(h: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(anchor, first window, last window) of the runs of windows that share an anchor.
 
-    A window is ``w`` grams. Windows are taken in strips of 64: within a strip the low bits of a
-    hash give way to the place, and the least of them is the leftmost anchor.
+    A window is ``w`` grams. Windows are taken in strips of 64: within a strip as many low bits of
+    a hash as its places need give way to the place, and the least of them is the leftmost anchor.
     """
     n = len(h) - w + 1
     strips = -(-n // _STRIP)
     width = _STRIP + w - 1
     padded = np.full(strips * _STRIP + w - 1, np.iinfo(np.uint64).max, np.uint64)
     padded[: len(h)] = h
-    low = np.uint64(127)
+    low = np.uint64((1 << (width - 1).bit_length()) - 1)
     m = np.lib.stride_tricks.as_strided(padded, (strips, width), (8 * _STRIP, 8))
     m = (m & ~low) | np.arange(width, dtype=np.uint64)
     size = 1

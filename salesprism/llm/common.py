@@ -33,6 +33,12 @@ def private_names(*tables: DataFrame) -> Callable[[str], str]:
     return lambda name: prefix + name
 
 
+def sealed(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` under numbered names that no operator uses, and the number of each name."""
+    given = {c: f"given_{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*given.values()), given
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder for written tables in the checkpoint folder that all executors share."""
     ensure_checkpoint_dir(spark)

@@ -84,8 +84,8 @@ class Segment:
     def near(self, numbers: np.ndarray, slop: int) -> np.ndarray:
         """(start, end) of the places where the terms stand in order with up to ``slop`` words between.
 
-        For each place of the rarest term, every place of the first term within reach is tried
-        and each further term is taken at its next place.
+        For each place of the rarest term, every place of the first term within reach is tried.
+        Inner terms are taken at their next place, the last one at every place within reach.
         """
         rare = int(np.argmin(self.count(numbers)))
         found = set()
@@ -94,16 +94,16 @@ class Segment:
             low = max(anchor - rare - slop, int(self.ends[document]) - int(self.lengths[document]))
             firsts = self.postings(numbers[0])
             for first in firsts[np.searchsorted(firsts, low) : np.searchsorted(firsts, anchor, side="right")].tolist():
-                place = first
-                for number in numbers[1:]:
+                place, beyond = first, min(first + len(numbers) + slop, int(self.ends[document]))
+                for number in numbers[1:-1]:
                     there = self.postings(number)
                     at = np.searchsorted(there, place, side="right")
-                    if at == len(there):
+                    place = int(there[at]) if at < len(there) else beyond
+                    if place >= beyond:
                         break
-                    place = int(there[at])
-                else:
-                    if place < self.ends[document] and place - first < len(numbers) + slop:
-                        found.add((first, place + 1))
+                last = self.postings(numbers[-1]) if len(numbers) > 1 else np.array([first])
+                after = np.searchsorted(last, place, side="right") if len(numbers) > 1 else 0
+                found.update((first, int(end) + 1) for end in last[after : np.searchsorted(last, beyond)])
         return np.array(sorted(found), np.int64).reshape(-1, 2)
 
 

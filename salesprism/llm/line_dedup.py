@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from salesprism.llm.common import BLANKS, ascii_lower, read
+from salesprism.llm.common import BLANKS, ascii_lower, read, sealed
 from salesprism.session import cut_lineage
 
 MIN_CHARS = 20
@@ -48,8 +48,9 @@ def drop_repeated_lines(
     counted (two-step aggregate, both steps combined before the shuffle), so one line held by
     a third of the documents is no hot task. The text is shuffled once, for the last join.
     """
-    docs = docs.drop("n_lines", "n_dropped")
-    text = F.col(text_col)
+    docs, given = sealed(docs.drop("n_lines", "n_dropped"))
+    id_col, text_name = given[id_col], given[text_col]
+    text = F.col(text_name)
     held = docs.select(
         F.col(id_col).alias("_id"),
         F.xxhash64(text).alias("_text"),
@@ -77,7 +78,7 @@ def drop_repeated_lines(
         F.transform(F.array_except(places, F.col("_gone")), lambda i: F.get(lines, i))
     )
     out = joined.withColumn("_lines", lines_of(text)).withColumn("_kept", kept)
-    columns = {c: F.col(f"`{c}`") for c in docs.columns} | {text_col: F.array_join("_kept", "\n").alias(text_col)}
+    columns = {c: F.col(g).alias(c) for c, g in given.items()} | {text_col: F.array_join("_kept", "\n").alias(text_col)}
     return out.select(
         *columns.values(),
         F.size("_lines").cast("long").alias("n_lines"),

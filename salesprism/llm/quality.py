@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from salesprism.llm.common import BLANK, BLANKS, read, written
+from salesprism.llm.common import BLANK, BLANKS, read, sealed, written
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 # The transformed statistics, and for each the spread a group has before it has rows (prior)
@@ -339,20 +339,21 @@ def quality_rules(
     A null language or source counts as the empty string. Scatter is shrunk towards a prior of
     ``PRIOR_ROWS`` rows and has a floor, so constant statistics and groups of one row have a
     defined distance; there is no least group size. distance2 is null where base_failed.
-    Repeated rows count as often as they stand; extra columns stay, save those named here.
+    Repeated rows count as often as they stand; extra columns stay, whatever their names, save the
+    new ones, which are replaced.
     An empty table gives an empty result.
 
     Sums are of whole numbers and exact, quantiles come from counts of bins: the result does
     not depend on the order of rows. Groups are pre-aggregated before each shuffle, and the
     join of rows with their group's estimate has small rows on both sides, split when skewed.
     """
-    clash = [c for c in docs.columns if c in ("distance2", "kept", "lang_", "source_")]
-    stats = base_statistics(docs.drop(*clash), text_col)
+    docs, given = sealed(docs.drop(*BASE, "base_failed", "distance2", "kept"))
+    stats = base_statistics(docs, given[text_col])
     rows = written(
         stats.select(
             "*",
-            F.coalesce(F.col(lang_col), F.lit("")).alias("lang_"),
-            F.coalesce(F.col(source_col), F.lit("")).alias("source_"),
+            F.coalesce(F.col(given[lang_col]), F.lit("")).alias("lang_"),
+            F.coalesce(F.col(given[source_col]), F.lit("")).alias("source_"),
             *vector(),
         ),
         "statistics",
@@ -361,9 +362,9 @@ def quality_rules(
     groups = least_determinant(passing, share)
     limit = chi2_quantile(level, len(AXES))
     judged = _distances(rows, groups.drop("start_"))
-    names = [c for c in stats.columns]
     return judged.select(
-        *[F.col(f"`{c}`") for c in names],
+        *[F.col(g).alias(c) for c, g in given.items() if c != text_col],
+        *BASE, "base_failed",
         F.when(~F.col("base_failed"), F.col("d2")).alias("distance2"),
         (~F.col("base_failed") & F.coalesce(F.col("d2") <= limit, F.lit(False))).alias("kept"),
     )

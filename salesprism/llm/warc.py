@@ -127,7 +127,7 @@ def read_payloads(spark: SparkSession, folder: str) -> DataFrame:
                 data = zlib.decompress(content.as_py(), wbits=31)
                 keys, payloads = [], []
                 for header, payload in _records(data):
-                    keys.append(header.split(b"X-Payload-SHA256: ", 1)[1].split(b"\r\n")[0].decode())
+                    keys.append(header.rsplit(b"\r\nX-Payload-SHA256: ", 1)[1].split(b"\r\n")[0].decode())
                     payloads.append(payload)
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(payloads, pa.binary())], ["sha256", "payload"])
 
