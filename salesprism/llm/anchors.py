@@ -74,28 +74,41 @@ def runs(h: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return place[first], first, last
 
 
+def cells_of(keys: np.ndarray, bits: int, row: int) -> np.ndarray:
+    """The cell of each key in a hash row, counted over all rows."""
+    own = keys if row == 0 else mix(keys ^ (_ODD * np.uint64(row)))
+    return (own >> np.uint64(64 - bits)).astype(np.int64) + (row << bits)
+
+
 class Sketch:
-    """Which keys are estimated to occur twice or more: a bit for each cell of one hash row."""
+    """Which keys are estimated to occur twice or more: a bit for each cell of each hash row.
+
+    The estimate of a key is the least of its cells, one in each row.
+    """
 
-    def __init__(self, bits: int, cells: np.ndarray):
-        self.shift, self.cells = np.uint64(64 - bits), cells
+    def __init__(self, bits: int, cells: np.ndarray, depth: int):
+        self.bits, self.cells, self.depth = bits, cells, depth
 
     def repeated(self, keys: np.ndarray) -> np.ndarray:
-        cell = keys >> self.shift
-        return (self.cells[cell >> np.uint64(3)] >> (np.uint64(7) - (cell & np.uint64(7))).astype(np.uint8)) & 1 > 0
+        out = np.ones(len(keys), bool)
+        for row in range(self.depth):
+            cell = cells_of(keys, self.bits, row)
+            out &= (self.cells[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 > 0
+        return out
 
 
 def build_sketch(
-    rows: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int = SKETCH_BITS, blocks: int = SKETCH_BLOCKS
+    rows: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int = SKETCH_BITS,
+    blocks: int = SKETCH_BLOCKS, depth: int = 1,
 ) -> Sketch:
-    """The merged sketch of all partitions' keys. Its size is 2**bits bits whatever the data.
+    """The merged sketch of all partitions' keys: ``depth`` rows of 2**bits bits whatever the data.
 
     A partition's sketch is the cells it counted once and more than once, delta-coded and cut
     into blocks; blocks merge by addition, streamed into one array each. A crowded sketch
-    estimates too many keys repeated, and never too few. The merged bits, at most 2**bits / 8
+    estimates too many keys repeated, and never too few. The merged bits, ``depth`` * 2**bits / 8
     bytes, pass the driver.
     """
-    shift, per = np.uint64(64 - bits), (1 << bits) // blocks
+    per, blocks = (1 << bits) // blocks, blocks * depth
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def sketch(parts):
@@ -115,8 +128,8 @@ def build_sketch(
         parts, held = [], 0
         for batch in batches:
             for keys in keys_of(batch):
-                parts.append((keys >> shift).astype(np.int64))
-                held += len(keys)
+                parts += [cells_of(keys, bits, row) for row in range(depth)]
+                held += len(keys) * depth
                 if held >= _FLUSH:
                     yield sketch(parts)
                     parts, held = [], 0
@@ -138,7 +151,7 @@ def build_sketch(
 
     partial = rows.mapInArrow(count, "block int, cells binary, more binary")
     merged = partial.repartition("block").mapInArrow(merge, "block int, bits binary")
-    cells = np.zeros((1 << bits) // 8, np.uint8)
+    cells = np.zeros((depth << bits) // 8, np.uint8)
     for row in merged.toLocalIterator():
         cells[row.block * per // 8 : (row.block + 1) * per // 8] = np.frombuffer(row.bits, np.uint8)
-    return Sketch(bits, cells)
+    return Sketch(bits, cells, depth)

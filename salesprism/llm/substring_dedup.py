@@ -1,7 +1,8 @@
 """Substring deduplication: a count-min prefilter, then exact groups of what may be repeated.
 
-First pass: partition sketches count the anchor keys of runs of windows (see ``anchors``) and
-merge into one of bounded size; a key's count is at least that of each of its windows.
+First pass: partition sketches of two hash rows count the anchor keys of runs of windows (see
+``anchors``) and merge into one of bounded size; a key's count is at least that of each of its
+windows.
 Second pass: only runs of keys estimated repeated are grouped, by their words. Equal runs settle
 each other whole. Where a key has different runs, their windows are grouped one by one.
 """
@@ -21,6 +22,8 @@ from salesprism.llm.anchors import Sketch, build_sketch, gram_hashes, runs
 from salesprism.llm.common import chunks, read, utf8, written
 
 WINDOW = 35
+DEPTH = 2
+SECOND_SEED = 1
 PART_BYTES = 2 << 20
 
 
@@ -41,6 +44,12 @@ def word_runs(words: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray,
     return h[anchors], first, last
 
 
+def window_hashes(words: list[bytes], window: int) -> np.ndarray:
+    """64 bits of each window, of other hashes of its words than the keys are made of."""
+    units = np.frombuffer(b"".join([xxhash.xxh3_64_digest(w, SECOND_SEED) for w in words]), ">u8").astype(np.uint64)
+    return gram_hashes(units, window).view(np.int64)
+
+
 def digest(words: list[bytes]) -> bytes:
     """64 bits of the words; with the key of their run, 128 bits stand for them."""
     return blake2b(b" ".join(words), digest_size=8).digest()
@@ -93,10 +102,11 @@ def _windows(docs: DataFrame, window: int, sent) -> DataFrame:
     """(key, run, windows): runs whose key may have different runs, with their windows' digests."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, found in _found(batches, window, sent.value):
-            each = [
-                b"".join([digest(words[s : s + window]) for s in range(first, last + 1)])
-                for _, words, first, last, _ in found
-            ]
+            each, of, hashes = [], None, None
+            for i, words, first, last, _ in found:
+                if i != of:
+                    of, hashes = i, window_hashes(words, window)
+                each.append(hashes[first : last + 1].tobytes())
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([f[4] for f in found], pa.int64()),
@@ -160,10 +170,10 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
         for text in utf8(batch.column(2)):
             yield word_runs(text.split(), window)[0]
 
-    candidates = spark.sparkContext.broadcast(build_sketch(docs, keys_of))
+    candidates = spark.sparkContext.broadcast(build_sketch(docs, keys_of, depth=DEPTH))
     found = _occurrences(docs, window, candidates)
     groups = written(found.groupBy("key", "run").agg((F.count("*") > 1).alias("equal")), "runs")
-    mixed = spark.sparkContext.broadcast(build_sketch(groups.select("key"), column_keys))
+    mixed = spark.sparkContext.broadcast(build_sketch(groups.select("key"), column_keys, depth=DEPTH))
     distinct = _windows(docs, window, mixed).groupBy("key", "run").agg(F.first("windows").alias("windows"))
     some = written(
         distinct.repartition("key").sortWithinPartitions("key", "run").mapInArrow(_shared, "key bigint, run bigint, places array<int>"),
