@@ -28,8 +28,16 @@ FIRST_PIVOTED_YEAR = 2069
 
 def parse_date(col: Column) -> Column:
     """Ordinals and commas dropped, then the pattern that fits; two-digit 69-99 are 19xx."""
-    text = F.regexp_replace(strip(col), r"(?i)(\d{1,2})(st|nd|rd|th)", "$1")
-    text = F.regexp_replace(text, ",", "")
+    return date_of(date_text(col))
+
+
+def date_text(col: Column) -> Column:
+    """The text without blanks around it, ordinal endings and commas."""
+    return F.regexp_replace(F.regexp_replace(strip(col), r"(?i)(\d{1,2})(st|nd|rd|th)", "$1"), ",", "")
+
+
+def date_of(text: Column) -> Column:
+    """The date of a cleaned text by the pattern of its shape."""
     out = F.lit(None).cast("date")
     for shape, pattern in reversed(DATE_SHAPES):
         parsed = F.try_to_timestamp(text, F.lit(pattern)).cast("date")

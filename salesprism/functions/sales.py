@@ -8,18 +8,33 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def exact_sum(col: Column, decimals: int = 4) -> Column:
-    """Sum of doubles on a decimal grid, 0 for no rows.
+LIMB = 1e6
 
-    Adding whole units is associative, so the result does not depend on the partitioning or
+
+def limbs(col: Column) -> list[Column]:
+    """A double as whole units, millionths and millionths of these: bigints that add up in any order."""
+    units = F.floor(col)
+    millionths = (col - units) * LIMB
+    upper = F.floor(millionths)
+    return [units.cast("bigint"), upper.cast("bigint"), F.rint((millionths - upper) * LIMB).cast("bigint")]
+
+
+def of_limbs(parts: Sequence[Column]) -> Column:
+    units, upper, lower = parts
+    return units + (upper + lower / F.lit(LIMB)) / F.lit(LIMB)
+
+
+def exact_sum(col: Column) -> Column:
+    """Sum of doubles to twelve decimals, 0 for no rows.
+
+    Adding whole numbers is associative, so the result does not depend on the partitioning or
     on a retried task, and bigint sums stay in primitive codegen (wide decimals do not).
     """
-    units = F.rint(col * 10.0**decimals).cast("bigint")
-    return F.coalesce(F.sum(units), F.lit(0)) / F.lit(10.0**decimals)
+    return of_limbs([F.coalesce(F.sum(part), F.lit(0)) for part in limbs(col)])
 
 
-def exact_mean(col: Column, decimals: int = 4) -> Column:
-    return F.try_divide(exact_sum(col, decimals), F.count(col))
+def exact_mean(col: Column) -> Column:
+    return F.try_divide(exact_sum(col), F.count(col))
 
 
 def safe_ratio(numerator: Column, denominator: Column) -> Column:

@@ -190,13 +190,22 @@ def flow_nodes(df: DataFrame, region: str = "Top_Region_CN", key: str = FAMILY)
 
 
 def count_wide(
-    df: DataFrame, column: str, values: Sequence[str | int], row: str = "Year", prefix: str = ""
+    df: DataFrame, column: str, values: Sequence[str | int], row: str = "Year", prefix: str = "", rest: str | None = None
 ) -> DataFrame:
-    """Named titles per row key and column value, wide, 0-filled; the values are given."""
+    """Named titles per row key and column value, wide, 0-filled; the values are given.
+
+    Titles of other values are counted in the column ``rest``. Without it they are an error, as
+    the rows of the result would not add up to the table.
+    """
     rows = df.where(F.col(row).isNotNull() & F.col(column).isNotNull())
-    counts = rows.groupBy(row, column).agg(F.count("Name").alias("n"))
-    wide = counts.groupBy(row).pivot(column, list(values)).agg(F.sum("n"))
-    return wide.select(row, *[F.coalesce(F.col(f"`{v}`"), F.lit(0)).alias(f"{prefix}{v}") for v in values])
+    counts = {f"{prefix}{v}": F.count(F.when(F.col(column) == v, F.col("Name"))) for v in values}
+    other = F.count(F.when(~F.col(column).isin(*values), F.col("Name")))
+    wide = rows.groupBy(row).agg(*[n.alias(name) for name, n in counts.items()], other.alias(rest or "_rest"))
+    if rest:
+        return wide
+    told = F.raise_error(F.lit(f"{column} has values that are not listed"))
+    first = next(iter(counts))
+    return wide.withColumn(first, F.when(F.col("_rest") > 0, told).otherwise(F.col(first))).drop("_rest")
 
 
 def age_cohorts(df: DataFrame) -> DataFrame:

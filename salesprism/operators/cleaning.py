@@ -50,7 +50,9 @@ def parse_dates_and_year(
 ) -> DataFrame:
     """Typed dates and a clipped integer Year; rows without any year keep NULL here."""
     present = [c for c in ("Release_Date", "Last_Update") if c in df.columns]
-    df = df.withColumns({c: dates.parse_date(F.col(c)) for c in present})
+    # In two steps: the cleaned text stands in a projection of its own and is made once a row.
+    df = df.withColumns({c: dates.date_text(F.col(c)) for c in present})
+    df = df.withColumns({c: dates.date_of(F.col(c)) for c in present})
     missing = F.lit(None).cast("date")
     stated = text.number(F.col("Year").cast("string")) if "Year" in df.columns else F.lit(None).cast("double")
     year = dates.known_year(
@@ -141,32 +143,33 @@ def keep_first(
     return grouped.select(*[picked[c].alias(c) if c in picked else F.col(c) for c in df.columns])
 
 
-def duplicate_count(df: DataFrame, key: Sequence[str] = schema.DEDUP_KEY) -> DataFrame:
-    """Number of rows that ``keep_first`` removes."""
-    per_key = df.groupBy(*key).agg((F.count("*") - 1).alias("extra"))
-    return per_key.agg(F.coalesce(F.sum("extra"), F.lit(0)).alias("removed"))
+def removal_counts(labelled: DataFrame, key: Sequence[str] = schema.DEDUP_KEY, label: str = "rejection") -> DataFrame:
+    """One row: how many rows each rule removes, copies as ``duplicate``, and ``rows`` of all.
+
+    Rows are grouped once, rejected ones by their rule and kept ones by their key, so the table
+    is read once and copies are combined before the shuffle.
+    """
+    kept = F.col(label).isNull()
+    parts = [F.when(kept, F.col(k)).alias(f"_key{i}") for i, k in enumerate(key)]
+    grouped = labelled.groupBy(F.col(label).alias("_rule"), *parts).agg(F.count("*").alias("n"))
+    removed = {rule: F.when(F.col("_rule") == rule, F.col("n")) for rule in REJECTIONS[:-1]}
+    removed[DUPLICATE] = F.when(F.col("_rule").isNull(), F.col("n") - 1)
+    removed["rows"] = F.col("n")
+    return grouped.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(rule) for rule, n in removed.items()])
 
 
 def filter_audit(labelled: DataFrame, label: str = "rejection") -> DataFrame:
     """Rows removed per rule in rule order, every rule listed; one pass, no per-step count."""
-    kept = labelled.where(F.col(label).isNull())
-    counts = labelled.agg(
-        *[F.count_if(F.col(label) == rule).alias(rule) for rule in REJECTIONS[:-1]]
-    )
-    by_rule = counts.unpivot([], list(REJECTIONS[:-1]), "rule", "removed").unionByName(
-        duplicate_count(kept).select(F.lit(DUPLICATE).alias("rule"), "removed")
-    )
+    by_rule = removal_counts(labelled, label=label).unpivot([], list(REJECTIONS), "rule", "removed")
     position = sales.tier_order(F.col("rule"), [(rule, None) for rule in REJECTIONS])
     return by_rule.select(position.alias("step"), "rule", F.col("removed").cast("bigint").alias("removed"))
 
 
-def retention(audit: DataFrame, initial_rows: int | Column) -> DataFrame:
-    """Initial and final rows with the retention and deduplication ratios."""
-    start = F.lit(initial_rows) if isinstance(initial_rows, int) else initial_rows
-    totals = audit.agg(
-        start.cast("bigint").alias("initial_rows"),
-        F.sum("removed").alias("removed"),
-        F.sum(F.when(F.col("rule") == DUPLICATE, F.col("removed"))).alias("duplicates"),
+def retention(labelled: DataFrame, label: str = "rejection") -> DataFrame:
+    """Initial and final rows with the retention and deduplication ratios; one pass."""
+    totals = removal_counts(labelled, label=label).select(
+        F.col("rows").cast("bigint").alias("initial_rows"),
+        sum((F.col(rule) for rule in REJECTIONS), F.lit(0)).alias("removed"), F.col(DUPLICATE).alias("duplicates"),
     )
     initial = F.col("initial_rows").cast("double")
     return totals.select(

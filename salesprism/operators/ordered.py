@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from salesprism.functions.sales import limbs, of_limbs
 from salesprism.session import cut_lineage
 
 PART = "_part"
@@ -139,12 +140,13 @@ def lorenz_curve(df: DataFrame, value: str = "Global_Sales") -> DataFrame:
     points describe it completely.
     """
     freq = value_frequencies(df, value)
-    units = F.rint(F.col(value) * 10000.0).cast("bigint") * F.col("n")
-    ranked = running_sum(freq, [F.col(value)], {"_rows": F.col("n"), "_units": units})
-    total = freq.agg(F.struct(F.sum("n").alias("rows"), F.sum(units).alias("units")).alias("t")).scalar()
+    parts = {f"_limb{i}": part * F.col("n") for i, part in enumerate(limbs(F.col(value)))}
+    ranked = running_sum(freq, [F.col(value)], {"_rows": F.col("n"), **parts})
+    whole = of_limbs([F.sum(part) for part in parts.values()])
+    total = freq.agg(F.struct(F.sum("n").alias("rows"), whole.alias("sum")).alias("t")).scalar()
     points = ranked.withColumn("_t", total).select(
         (F.col("_rows") / F.col("_t.rows")).alias("row_share"),
-        F.try_divide(F.col("_units"), F.col("_t.units")).alias("value_share"),
+        F.try_divide(of_limbs([F.col(name) for name in parts]), F.col("_t.sum")).alias("value_share"),
     )
     origin = df.sparkSession.createDataFrame([(0.0, 0.0)], "row_share double, value_share double")
     return origin.unionByName(points)
@@ -155,12 +157,10 @@ def pareto_curve(
 ) -> DataFrame:
     """Every row with its rank by falling value, the cumulative share and the 80 % mark."""
     rows = df.where(F.col(value).isNotNull()).select(row_id, value)
-    units = F.rint(F.col(value) * 10000.0).cast("bigint")
-    ranked = running_sum(
-        rows, [F.desc(value), F.asc(row_id)], {"rank": F.lit(1).cast("bigint"), "_units": units}
-    )
-    total = rows.agg(F.sum(units)).scalar()
-    share = F.try_divide(F.col("_units"), total)
+    parts = {f"_limb{i}": part for i, part in enumerate(limbs(F.col(value)))}
+    ranked = running_sum(rows, [F.desc(value), F.asc(row_id)], {"rank": F.lit(1).cast("bigint"), **parts})
+    total = rows.agg(of_limbs([F.sum(part) for part in parts.values()])).scalar()
+    share = F.try_divide(of_limbs([F.col(name) for name in parts]), total)
     return ranked.select(row_id, value, "rank", share.alias("cum_share")).withColumn(
         "within_line", F.col("cum_share") <= line
     )

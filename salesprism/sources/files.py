@@ -54,6 +54,11 @@ def raw_listing(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return first_found([lambda p=p: read_csv(spark, p, schema.RAW_SCHEMA) for p in paths])
 
 
+def clean_table(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """The clean table from the first path that exists, typed by its contract."""
+    return first_found([lambda p=p: read_csv(spark, p, schema.CLEAN_SCHEMA) for p in paths])
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """One file a task, UTF-8 with a header each. Folders that exist are not overwritten."""
     df.write.options(**_CSV).csv(path)

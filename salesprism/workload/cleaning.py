@@ -139,8 +139,7 @@ def _(spark, sf_dir):
     ),
 )
 def _(spark, sf_dir):
-    rows = labelled(spark, sf_dir)
-    return cleaning.retention(cleaning.filter_audit(rows), rows.agg(F.count("*")).scalar())
+    return cleaning.retention(labelled(spark, sf_dir))
 
 
 @query("first_copy_kept", on_raw(f"SELECT ingest_id, {named(schema.DEDUP_KEY)} FROM kept"))
