@@ -55,11 +55,21 @@ def region_totals(df: DataFrame, regions: Sequence[str] = schema.REGIONS) -> Dat
     )
 
 
+def named_groups(grouped: DataFrame, key: str, count: str) -> DataFrame:
+    """The groups that have a key.
+
+    The filter asks for the group's count too, so it stays above the aggregate: the groups and
+    the total over all of them then come from one scan and one shuffle.
+    """
+    return grouped.where(F.when(F.col(count) > 0, F.col(key).isNotNull()))
+
+
 def share_of_total(df: DataFrame, key: str, sales: str = SALES) -> DataFrame:
     """Sales per key over the sales of the whole table, rows without a key included."""
-    whole = df.agg(exact_sum(F.col(sales)).alias("_whole"))
-    return sales_by(df, key, sales).select(
-        key, "sales", F.coalesce(safe_ratio(F.col("sales"), whole.scalar()), F.lit(0.0)).alias("share")
+    groups = df.groupBy(key).agg(exact_sum(F.col(sales)).alias("sales"), F.count("*").alias("_rows"))
+    whole = groups.agg(exact_sum(F.col("sales"))).scalar()
+    return named_groups(groups, key, "_rows").select(
+        key, "sales", F.coalesce(safe_ratio(F.col("sales"), whole), F.lit(0.0)).alias("share")
     )
 
 
@@ -68,10 +78,10 @@ def region_preference(
 ) -> DataFrame:
     """Regional mix of a group minus the regional mix of the table, one row per pair."""
     sums = [exact_sum(F.col(c)).alias(c) for c in regions]
-    per_group = df.dropna(subset=[key]).groupBy(key).agg(*sums)
-    whole = df.agg(*sums).select(F.struct(*regions)).scalar()
+    groups = df.groupBy(key).agg(*sums, F.count("*").alias("_rows"))
+    whole = groups.agg(*sums).select(F.struct(*regions)).scalar()
     group_sum = sum((F.col(c) for c in regions[1:]), F.col(regions[0]))
-    table = per_group.withColumns({"_sum": group_sum, "_all": whole})
+    table = named_groups(groups, key, "_rows").withColumns({"_sum": group_sum, "_all": whole})
     all_sum = sum((F.col(f"_all.{c}") for c in regions[1:]), F.col(f"_all.{regions[0]}"))
     gaps = table.select(
         key,
@@ -127,19 +137,16 @@ def tier_contributions(
     df: DataFrame, tier: str = "Sales_Tier", sales: str = SALES, regions: Sequence[str] = schema.REGIONS
 ) -> DataFrame:
     """Per tier: sales, the regional mix inside it, mean sales and the lift over the table mean."""
-    per_tier = (
-        df.dropna(subset=[tier])
-        .groupBy(tier)
-        .agg(
-            F.count("*").alias("titles"),
-            exact_sum(F.col(sales)).alias("sales"),
-            F.round(exact_mean(F.col(sales)), 4).alias("avg_sales"),
-            *[exact_sum(F.col(c)).alias(c) for c in regions],
-        )
+    groups = df.groupBy(tier).agg(
+        F.count("*").alias("titles"),
+        F.count(F.col(sales)).alias("_sold"),
+        exact_sum(F.col(sales)).alias("sales"),
+        F.round(exact_mean(F.col(sales)), 4).alias("avg_sales"),
+        *[exact_sum(F.col(c)).alias(c) for c in regions],
     )
-    mean = df.agg(exact_mean(F.col(sales)).alias("_mean")).scalar()
+    mean = groups.agg(F.try_divide(exact_sum(F.col("sales")), F.sum("_sold"))).scalar()
     regional = sum((F.col(c) for c in regions[1:]), F.col(regions[0]))
-    return per_tier.withColumn("_regional", regional).select(
+    return named_groups(groups, tier, "titles").withColumn("_regional", regional).select(
         F.col(tier).alias("tier"),
         tier_order(F.col(tier), schema.SALES_TIERS).alias("tier_ord"),
         "titles",

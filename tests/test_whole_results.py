@@ -40,3 +40,23 @@ def test_audit_closes(spark):
     r = cleaning.retention(labelled).first()
     assert (r.initial_rows, r.final_rows) == (6, 2) and r.deduplication_rate == pytest.approx(2 / 6)
     assert cleaning.retention(labelled.limit(0)).first().initial_rows == 0
+
+
+def test_shares_come_from_one_scan(spark, tmp_path):
+    from salesprism.operators import market
+
+    rows = [("a", "<1M", 1.0, 2.0), ("b", "<1M", 3.0, 0.0), (None, None, 4.0, 2.0), ("a", "20M+", None, 0.0)]
+    path = str(tmp_path / "t")
+    spark.createDataFrame(rows, "Genre string, Sales_Tier string, Global_Sales double, NA_Sales double").write.parquet(path)
+    t = spark.read.parquet(path)
+    shares = market.share_of_total(t, "Genre")
+    assert {tuple(r) for r in shares.collect()} == {("a", 1.0, 0.125), ("b", 3.0, 0.375)}
+    tiers = market.tier_contributions(t, regions=["NA_Sales"])
+    assert {(r.tier, r.titles, r.avg_sales, r.lift) for r in tiers.collect()} == {("<1M", 2, 2.0, 0.75), ("20M+", 1, None, None)}
+    preference = market.region_preference(t, regions=["NA_Sales"])
+    assert {r.preference for r in preference.collect()} == {0.0, -1.0}
+    for df in (shares, tiers, preference):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        final = plan.split("Initial Plan")[0] if "Initial Plan" in plan else plan
+        assert "ReusedExchange" in final or final.count("FileScan") <= 1
