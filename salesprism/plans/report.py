@@ -53,6 +53,26 @@ def report(t: DataFrame, clusters: DataFrame | None = None, booms: int = 3, top:
     return out
 
 
+def picks(t: DataFrame, genres: int = 8, preferences: int = 8, booms: int = 3, busts: int = 2, disagreements: int = 3) -> DataFrame:
+    """(section, ord, label, value) of what a page of highlights shows."""
+    pair = F.concat_ws("|", "Genre", "region")
+    turns = temporal.boom_and_bust(temporal.yearly(t), booms=booms, busts=busts)
+    turn = F.concat_ws("|", "kind", F.col("Year").cast("string"))
+    preferred = market.region_preference(t).orderBy(F.desc("preference"), "Genre", "region").limit(preferences)
+    gaps = market.largest_disagreements(t, k=disagreements)
+    sections = [
+        _lines(market.top_by_sales(t, "Genre", genres, digits=2), "genres", [-F.col("sales"), F.col("Genre")], F.col("Genre"), F.col("sales")),
+        _lines(market.share_of_total(t, "Platform_Family"), "platforms", [-F.col("share"), F.col("Platform_Family")], F.col("Platform_Family"), F.col("share")),
+        _lines(preferred, "preferences", [-F.col("preference"), pair], pair, F.col("preference")),
+        _lines(turns, "turns", [turn], turn, F.col("yoy")),
+        _lines(gaps, "disagreements", [-F.abs("Score_Gap"), F.col("ingest_id")], F.col("Name"), F.col("Score_Gap")),
+    ]
+    out = sections[0]
+    for section in sections[1:]:
+        out = out.unionByName(section)
+    return out
+
+
 def documents(lines: DataFrame) -> DataFrame:
     """(section, lines): the lines of a section folded into one array, for a JSON document each.
 

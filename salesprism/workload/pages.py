@@ -96,6 +96,24 @@ def _(t):
 ORACLES["report_table"] = REPORT
 
 
+PICKS = " UNION ALL ".join([
+    section("genres", "top_genres", '"Genre"', "sales", 'sales DESC, "Genre"') + " WHERE ord < 8",
+    section("platforms", "platform_share", '"Platform_Family"', "share", 'share DESC, "Platform_Family"'),
+    section("preferences", "preference_picks", "\"Genre\" || '|' || region", "preference", "preference DESC, \"Genre\" || '|' || region"),
+    section("turns", "boom_and_bust_years", "kind || '|' || \"Year\"", "yoy", "kind || '|' || \"Year\"",
+            f"(kind = 'boom') OR \"Year\" IN (SELECT \"Year\" FROM ({ORACLES['boom_and_bust_years']}) WHERE kind = 'bust' ORDER BY yoy, \"Year\" LIMIT 2)"),
+    section("disagreements", "largest_disagreements", '"Name"', '"Score_Gap"', 'abs("Score_Gap") DESC, ingest_id') + " WHERE ord < 3",
+])
+
+
+@on_titles("report_picks")
+def _(t):
+    return report.picks(t)
+
+
+ORACLES["report_picks"] = PICKS
+
+
 @on_titles("report_table_with_clusters")
 def _(t):
     """The report with the summary of fitted clusters."""
