@@ -119,8 +119,8 @@ def fit_region_clusters(df: DataFrame, regions: Sequence[str] = schema.REGIONS,
     scores are checkpointed for the restarts. Clusters are numbered by falling size.
     """
     regions = [r for r in regions if r in df.columns]
-    parts = region_vectors(df.select(*[F.coalesce(F.col(r), F.lit(0.0)).alias(r) for r in regions]), regions, SUFFIX)
     names = [r + SUFFIX for r in regions]
+    parts = cut_lineage(region_vectors(df.select(*regions), regions, SUFFIX).select(*names))
     if k is None:
         k = clusters_for(parts.count(), parts.select(*names).distinct().limit(4).count())
     if not k or not regions:

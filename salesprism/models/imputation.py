@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from salesprism import schema
 from salesprism.models.statistics import Moments, linear, moments, quantiles
+from salesprism.session import cut_lineage
 
 ROUNDS = 10
 DIGITS = 2
@@ -77,20 +78,21 @@ def impute_scores(
 ) -> DataFrame:
     """``df`` with the gaps of ``targets`` filled; all their values are then clipped and rounded.
 
-    Two or three passes over ``df`` whatever the number of rounds: medians, then the moments of each
-    pattern of present columns, at most 2^columns rows. Filling is a projection. A column without
+    The columns are read and written once, then passed two or three times whatever the number of
+    rounds: medians, then the moments of each pattern of present columns, at most 2^columns rows. Filling is a projection. A column without
     any value stays missing. Without gaps, or with fewer than five rows, nothing changes.
     """
     targets = [c for c in targets if c in df.columns]
     columns = [*targets, *[c for c in helpers if c in df.columns]]
-    medians = quantiles(df, dict.fromkeys(columns, 0.5))
+    read = cut_lineage(df.select(*columns))
+    medians = quantiles(read, dict.fromkeys(columns, 0.5))
     columns = [c for c in columns if medians[c] is not None]
     targets = [c for c in targets if c in columns]
     if not targets or len(columns) == len(targets):
         return df
     has = {f"_has_{i}": F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for i, c in enumerate(columns)}
     centre = {c: medians[c] for c in columns}
-    clean = df.select(*[F.when(h, F.col(c).cast("double")).alias(c) for c, h in zip(columns, has.values(), strict=True)], *[h.alias(n) for n, h in has.items()])
+    clean = read.select(*[F.when(h, F.col(c).cast("double")).alias(c) for c, h in zip(columns, has.values(), strict=True)], *[h.alias(n) for n, h in has.items()])
     patterns = moments(clean, columns, list(has), centre)
     if sum(m.n for m in patterns.values()) < FEWEST_ROWS or all(all(p[: len(targets)]) for p in patterns):
         return df

@@ -139,12 +139,13 @@ def flag_outliers(df: DataFrame, id_col: str = schema.INGEST_ID, columns: Sequen
     scaled. The scored rows are checkpointed once: quantile and flags see the same scores.
     """
     columns = list(columns) if columns is not None else detection_columns(df)
-    medians = quantiles(df, dict.fromkeys(columns, 0.5))
+    read = cut_lineage(df.select(id_col, *columns))
+    medians = quantiles(read, dict.fromkeys(columns, 0.5))
     columns = [c for c in columns if medians[c] is not None]
-    rows = df.count()
+    rows = read.count()
     if not rows or not columns:
         return df.withColumns({"Is_Outlier": F.lit(False), "Outlier_Score": F.lit(0.0)})
-    forest = df.sparkSession.sparkContext.broadcast(fit_forest(df, id_col, columns, medians, rows, trees, sample, seed))
+    forest = df.sparkSession.sparkContext.broadcast(fit_forest(read, id_col, columns, medians, rows, trees, sample, seed))
 
     @F.pandas_udf("double")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -74,7 +74,7 @@ def fit_segments(df: DataFrame, regions: Sequence[str] = schema.REGIONS, extras:
     counting as 0. The component scores are checkpointed: each step of each restart reads them.
     """
     features = [c for c in (*regions, *extras) if c in df.columns]
-    filled = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"_f_{c}") for c in features])
+    filled = cut_lineage(df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"_f_{c}") for c in features]))
     rows = filled.count()
     if len(features) < 3 or rows < FEWEST_ROWS:
         return None

@@ -107,19 +107,14 @@ def base_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_PERSISTED: dict[tuple[str, str], DataFrame] = {}
-
-
 def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base view with family, labels, shares, tiers and score features.
 
-    Every metric reads it, so it is persisted once per session and folder.
+    Nothing is cached: a query reads and computes only the columns it asks for, and what a fit
+    reads several times is checkpointed there.
     """
     from salesprism.operators.lookup import map_or
 
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _PERSISTED:
-        base = base_titles(spark, sf_dir)
-        base = map_or(base, "Platform", schema.PLATFORM_FAMILIES, "Platform_Family", F.lit(schema.UNKNOWN_FAMILY))
-        _PERSISTED[key] = engineer_features(base, AS_OF_YEAR, genre_labels={}).persist()
-    return _PERSISTED[key]
+    base = base_titles(spark, sf_dir)
+    base = map_or(base, "Platform", schema.PLATFORM_FAMILIES, "Platform_Family", F.lit(schema.UNKNOWN_FAMILY))
+    return engineer_features(base, AS_OF_YEAR, genre_labels={})
