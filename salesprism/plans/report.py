@@ -59,13 +59,13 @@ def picks(t: DataFrame, genres: int = 8, preferences: int = 8, booms: int = 3, b
     turns = temporal.boom_and_bust(temporal.yearly(t), booms=booms, busts=busts)
     turn = F.concat_ws("|", "kind", F.col("Year").cast("string"))
     preferred = market.region_preference(t).orderBy(F.desc("preference"), "Genre", "region").limit(preferences)
-    gaps = market.largest_disagreements(t, k=disagreements)
+    gaps = market.largest_disagreements(t)  # ordered anew: equal to six digits is equal, then the id decides
     sections = [
         _lines(market.top_by_sales(t, "Genre", genres, digits=2), "genres", [-F.col("sales"), F.col("Genre")], F.col("Genre"), F.col("sales")),
         _lines(market.share_of_total(t, "Platform_Family"), "platforms", [-F.col("share"), F.col("Platform_Family")], F.col("Platform_Family"), F.col("share")),
         _lines(preferred, "preferences", [-F.col("preference"), pair], pair, F.col("preference")),
         _lines(turns, "turns", [turn], turn, F.col("yoy")),
-        _lines(gaps, "disagreements", [-F.abs("Score_Gap"), F.col("ingest_id")], F.col("Name"), F.col("Score_Gap")),
+        _lines(gaps, "disagreements", [-F.round(F.abs("Score_Gap"), 6), F.col("ingest_id")], F.col("Name"), F.col("Score_Gap")).filter(F.col("ord") < disagreements),
     ]
     out = sections[0]
     for section in sections[1:]:
