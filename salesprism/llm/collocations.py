@@ -21,9 +21,10 @@ from salesprism.llm.pair_tiles import ID_BITS, count_codes, count_pairs
 MIN_COUNT = 10
 TOP = 2000
 HEAD_WORD_BYTES = 64
-CHUNK_BYTES = 4_000_000
-FLUSH_TOKENS = 4_000_000
-FLUSH_WORDS = 500_000
+CHUNK_BYTES = 1_000_000
+FLUSH_TOKENS = 1_000_000
+FLUSH_WORDS = 200_000
+BATCH_ROWS = 100_000
 KEY_MASK = (1 << 63) - 1
 BREAK, UNKNOWN, TAIL = -1, -2, -3
 # The characters that end a piece, and the blanks that end a word inside one.
@@ -63,16 +64,21 @@ def _tokens(batches: Iterator[pa.RecordBatch], most: int = CHUNK_BYTES) -> Itera
                 yield lang, block.translate(_TABLE).replace(_MARK, b" . ").split()
 
 
+def _sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for at in range(0, batch.num_rows, BATCH_ROWS):
+        yield batch.slice(at, BATCH_ROWS)
+
+
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[str, Counter] = defaultdict(Counter)
 
     def flush() -> Iterator[pa.RecordBatch]:
         for lang, counter in counts.items():
             words = pa.array(counter.keys(), pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays(
+            yield from _sliced(pa.RecordBatch.from_arrays(
                 [pa.array([lang]).take(pa.array(np.zeros(len(words), np.int32))), words, pa.array(counter.values(), pa.int64())],
                 ["lang", "word", "n"],
-            )
+            ))
         counts.clear()
 
     for lang, tokens in _tokens(batches):
@@ -217,7 +223,7 @@ def _phrase_counter(vocabulary, units):
                 if pairs is None:
                     both = (a >= 0) & (b >= 0)
                     code, n = count_pairs(a[both], b[both])
-                    yield _batch(None, lang, False, code, None, n)
+                    yield from _sliced(_batch(None, lang, False, code, None, n))
                     continue
                 code = np.where((a >= 0) & (b >= 0), a.astype(np.int64) << ID_BITS | b, -1)
                 frequent = (code >= 0) & pairs.sieve.hits(_pair_keys(code, lang))
@@ -225,9 +231,9 @@ def _phrase_counter(vocabulary, units):
                 unit, third = pairs.rank(lang, code[at]), ids[at + 2]
                 ranked = unit >= 0
                 code_, n = count_pairs(unit[ranked], third[ranked])
-                yield _batch(None, lang, True, code_, None, n)
+                yield from _sliced(_batch(None, lang, True, code_, None, n))
                 code_, n = count_codes(code[at[~ranked]] << ID_BITS | third[~ranked])
-                yield _batch(None, lang, False, code_, None, n)
+                yield from _sliced(_batch(None, lang, False, code_, None, n))
             held.clear()
 
         for lang, tokens in _tokens(batches):
@@ -236,7 +242,7 @@ def _phrase_counter(vocabulary, units):
             if words.tail is not None:
                 found = Counter(_tail_phrases(tokens, ids, lang_id, size, pairs))
                 if found:
-                    yield _batch(lang, lang_id, False, None, list(found), list(found.values()))
+                    yield from _sliced(_batch(lang, lang_id, False, None, list(found), list(found.values())))
             if lang_id >= 0:
                 held[lang_id].append(np.append(ids, np.int32(BREAK)))
                 waiting += len(ids)
