@@ -1,5 +1,6 @@
 """Substring deduplication: a count-min prefilter, then exact groups of what may be repeated.
 
+Rows whose whole text is one of the frequent ones are settled first, see ``whole_copies``.
 First pass: partition sketches of two hash rows count the anchor keys of runs of windows (see
 ``anchors``) and merge into one of bounded size; a key's count is at least that of each of its
 windows.
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from salesprism.llm.anchors import Sketch, build_sketch, gram_hashes, runs
 from salesprism.llm.common import chunks, read, utf8, written
+from salesprism.llm.whole_copies import HEAD_GROUPS, all_gone, one_of_each, with_copies
 
 WINDOW = 35
 DEPTH = 2
@@ -163,7 +165,7 @@ def column_keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
 
 
 def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
-    """(id, row, spans): first and end words of repeated windows, for ``docs`` (id, row, text)."""
+    """(who, spans), who being id and row: first and end words of repeated windows, for ``docs`` (id, row, text)."""
     spark = docs.sparkSession
 
     def keys_of(batch):
@@ -171,7 +173,7 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
             yield word_runs(text.split(), window)[0]
 
     candidates = spark.sparkContext.broadcast(build_sketch(docs, keys_of, depth=DEPTH))
-    found = _occurrences(docs, window, candidates)
+    found = written(_occurrences(docs, window, candidates), "found")
     groups = written(found.groupBy("key", "run").agg((F.count("*") > 1).alias("equal")), "runs")
     mixed = spark.sparkContext.broadcast(build_sketch(groups.select("key"), column_keys, depth=DEPTH))
     distinct = _windows(docs, window, mixed).groupBy("key", "run").agg(F.first("windows").alias("windows"))
@@ -187,7 +189,7 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
     marks = found.join(settled, ["key", "run"]).select(
         "id", "row", F.coalesce(of_places("places", window), of_run(window)).alias("spans")
     )
-    return marks.groupBy("id", "row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return marks.groupBy(F.struct("id", "row").alias("who")).agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def of_run(window: int) -> Column:
@@ -200,12 +202,12 @@ def of_places(places: str, window: int) -> Column:
     return F.transform(places, lambda p: F.struct((F.col("first") + p).alias("a"), (F.col("first") + p + window).alias("b")))
 
 
-def covered(spans: list[dict], n: int) -> np.ndarray:
-    """Flags of the places inside any span."""
+def covered(spans: list[dict], n: int, window: int) -> np.ndarray:
+    """Flags of the places inside any span; none if there are too few for a window."""
     step = np.zeros(n + 1, np.int32)
-    if spans:
+    if spans and n >= window:
         np.add.at(step, [s["a"] for s in spans], 1)
-        np.add.at(step, [s["b"] for s in spans], -1)
+        np.add.at(step, [min(s["b"], n) for s in spans], -1)
     return np.cumsum(step[:-1]) > 0
 
 
@@ -218,12 +220,12 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def with_spans(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """(id, text, spans) of every row; the one shuffle of the text."""
-    told = marks.withColumnsRenamed({"id": "id_", "row": "row_"})
-    return docs.join(told, docs.id.eqNullSafe(told.id_) & (docs.row == told.row_), "left").select("id", "text", "spans")
+    """(id, text, spans) of every row; the one shuffle of the text. Null ids within ``who`` are equal."""
+    return docs.withColumn("who", F.struct("id", "row")).join(marks, "who", "left").select("id", "text", "spans")
 
 
-def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
+                    copy_groups: int = HEAD_GROUPS) -> DataFrame:
     """(doc_id, n_words, n_removed, text): ``text`` is the kept words joined by one space.
 
     A word goes if a window of ``window`` consecutive words of its document covers it whose words
@@ -232,19 +234,24 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Every row is a document, so a repeated row loses what its copy holds; ids may repeat or be
     null. Other columns are not read.
 
+    Rows of the largest groups of equal texts, at most ``copy_groups`` of them and known by SHA-256,
+    lose all their windows at once; one of each meets the other texts in their stead.
+
     The sketches have a fixed size and only overestimate: crowded, they let more runs through to
     the exact groups. Groups are pre-aggregated; joins with the settled runs have plain rows on
     both sides and are split when a run is hot.
     """
-    given = keyed(docs, id_col, text_col)
-    joined = with_spans(given, repeated_windows(given, window))
+    told = with_copies(keyed(docs, id_col, text_col), copy_groups)
+    others = told.filter(~F.col("copied")).select("id", "row", "text")
+    marked = with_spans(others, repeated_windows(one_of_each(told), window))
+    joined = marked.unionByName(all_gone(told.filter("copied")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, removed, kept = [], [], []
             for text, spans in zip(utf8(batch.column(1)), batch.column(2), strict=True):
                 words = text.split()
-                gone = covered(spans.as_py() or [], len(words))
+                gone = covered(spans.as_py() or [], len(words), window)
                 sizes.append(len(words))
                 removed.append(int(gone.sum()))
                 kept.append(b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]).decode())
