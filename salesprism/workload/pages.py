@@ -60,7 +60,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """Rows and pages that are no listing; no page of the pages table holds one."""
     listings = listing_pages.parse_pages(rendered(base_titles(spark, sf_dir)))
-    others = listing_pages.parse_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    others = listing_pages.parse_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"), deal=True)
     return listing_pages.rejects(listings.unionByName(others))
 
 

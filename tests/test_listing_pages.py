@@ -36,3 +36,31 @@ def test_typed_rows_and_rejects(spark):
     ]
     assert {tuple(r) for r in lp.rejects(parsed).collect()} == {(lp.NO_NAME, 1), (lp.NO_TABLE, 1)}
     assert lp.listing_rows(lp.parse_pages(pages.limit(0))).count() == 0
+
+
+ODD = (
+    None, "", "no markup & none", "<p>a < b</p><table><tr><td>x", '<TABLE ID=chart><tr><th>Pos<th>Game<tr><td>1<td>A &amp; B &lt;c&gt;',
+    '<table class="chart x"><tr><th>Pos</th><th colspan=2>Game</th></tr><tr><td>1</td><td/><td><a href=x>N <b>o</b></a> y</td></tr></table>',
+    '<table id=chart><tr><th>Pos</th><th>Game</th></tr><!-- <tr><td>9</td><td>no</td></tr> --><tr><td>1</td><td>N</td></tr></table>',
+    '<table id=chart><tr><th>Pos</th><th>Game</th></tr><tr><td>1</td><td><script>"<td>"</script>N</td></tr></table>',
+    '<table id=chart><tr><th>Pos</th><th>Console</th><th>Game</th></tr><tr><td>1</td><td><img hidden alt=PS/></td><td>N</td></tr></table> &am',
+    "<div id='generalBody' ><table><tr><th>Pos</th><th colspan='2'>Game</th></tr><tr><td>1</td><td><img alt='a'/></td><td>N&nbsp;</td></tr></table></div>",
+    '<table id=chart><tr><th>Pos</th><th>Game</th></tr><tr><td>1</td><td title="a>b">N</td></tr><tr><td>2</td></tr></table>',
+)
+
+
+def test_plain_pages_read_as_by_the_parser(monkeypatch):
+    plain = [lp.parse_page(page) for page in ODD]
+    monkeypatch.setattr(lp, "_plain", lambda html: None)
+    assert plain == [lp.parse_page(page) for page in ODD]
+
+
+def test_pages_without_a_table_are_not_parsed(spark):
+    """One file of many pages is dealt out, and only pages in which a table begins reach the parser."""
+    pages = spark.createDataFrame([*enumerate(ODD), (None, "<p>x</p>")], "page_id long, html string").coalesce(1)
+    parsed = lp.parse_pages(pages, deal=True)
+    expected = {(n, row["row"], row["reject"], row.get("Name")) for n, page in enumerate(ODD) for row in lp.parse_page(page)}
+    assert {(r.page_id, r.row, r.reject, r.Name) for r in parsed.collect()} == expected | {(None, 0, "no_table", None)}
+    kinds = lp.rejects(parsed)
+    assert {r.reject: r.rows for r in kinds.collect()}["no_table"] == 5
+    assert parsed.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
