@@ -63,7 +63,8 @@ def fit_bands(df: DataFrame, id_col: str, target: str = "Global_Sales", levels:
     model = forest.fit(data)
     edges = sorted(set(data.approxQuantile("label", [i / buckets for i in range(1, buckets)], 0.1 / buckets)))
     bucket = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e < F.col("label")))
-    placed = model.transform(data).select(bucket.alias("bucket"), "label", F.posexplode(vector_to_array("_leaves")).alias("tree", "leaf"))
+    # The bucket is found before a row is repeated per tree.
+    placed = model.transform(data.withColumn("bucket", bucket)).select("bucket", "label", F.posexplode(vector_to_array("_leaves")).alias("tree", "leaf"))
     counted = placed.groupBy("tree", F.col("leaf").cast("int").alias("leaf"), "bucket").agg(F.count("*").alias("n"), F.sum("label").alias("y")).toPandas()
     shares = np.zeros((trees, int(counted["leaf"].max()) + 1, len(edges) + 1))
     shares[counted["tree"], counted["leaf"], counted["bucket"]] = counted["n"]

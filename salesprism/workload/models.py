@@ -9,6 +9,7 @@ from salesprism.functions.text import feature_label
 from salesprism.models import attribution, bands, clusters, imputation, outliers, segments, similar, supervised
 from salesprism.operators import charts, evaluation, market
 from salesprism.plans.raw_listing import raw_listing
+from salesprism.session import written_once
 from salesprism.workload.cleaning import AS_OF, named, on_raw
 from salesprism.workload.registry import on_titles, query, quoted
 
@@ -49,25 +50,28 @@ def _(t):
 
 @on_titles("region_clusters")
 def _(t):
-    return clusters.cluster_regions(t).select("ingest_id", "PCA_Region_1", "PCA_Region_2", "Regional_Cluster", "Regional_Cluster_Label")
+    return clusters.cluster_regions(written_once(t.select("ingest_id", *schema.REGIONS))).select("ingest_id", "PCA_Region_1", "PCA_Region_2", "Regional_Cluster", "Regional_Cluster_Label")
 
 
 @on_titles("cluster_insights_fitted")
 def _(t):
-    return market.cluster_summary(clusters.cluster_regions(t))
+    return market.cluster_summary(clusters.cluster_regions(written_once(t.select(*schema.REGIONS, "Global_Sales", "Genre", "Platform_Family_CN"))))
 
 
 @on_titles("cluster_release_counts_fitted")
 def _(t):
+    t = written_once(t.select(*schema.REGIONS, "Year", "Name"))
     return charts.count_wide(clusters.cluster_regions(t), "Regional_Cluster", range(4), prefix="cluster_")
 
 
 @on_titles("region_segments")
 def _(t):
+    t = written_once(t.select(*SEGMENTED))
     fitted = clusters.fit_region_clusters(t, k=4)
     return clusters.region_segments(fitted.assign(t)) if fitted else clusters.region_segments(clusters.cluster_regions(t))
 
 
+SEGMENTED = (*schema.REGIONS, "Global_Sales", "Genre", "Platform_Family")
 CLEAN_KEYS = ("Name", "Platform", "Year", "Publisher", "Platform_Family")
 
 
@@ -111,6 +115,9 @@ def _(t):
     return names.select("name", feature_label(F.col("name")).alias("label"))
 
 
+PREDICTED = ("ingest_id", "Publisher", "Platform_Family", "Genre", "Year", "Decade", "Global_Sales")
+
+
 def predicted_sales(t):
     """The prepared titles with a prediction and the part each belongs to."""
     ready = supervised.prepare_features(t)
@@ -133,10 +140,12 @@ def _(t):
 @on_titles("sales_prediction_samples")
 def _(t):
     """The first 25 test titles with prediction and band."""
+    t = written_once(t.select(*PREDICTED, "Name"))
     ready = supervised.prepare_features(t)
-    scored = bands.fit_bands(ready, schema.INGEST_ID).predict(predicted_sales(t)[1])
+    regression, banded = supervised.fit_regression(ready, schema.INGEST_ID), bands.fit_bands(ready, schema.INGEST_ID)
     columns = ("ingest_id", "Name", "Platform_Family", "Genre", "Year", "Global_Sales", "predicted", "p10", "p50", "p90")
-    return scored.filter("part = 'test'").select(*columns).orderBy("ingest_id").limit(25)
+    first = ready.filter(supervised.three_parts(schema.INGEST_ID) == "test").orderBy("ingest_id").limit(25)
+    return banded.predict(regression.predict(first)).select(*columns)
 
 
 @on_titles("feature_importance")
@@ -156,9 +165,9 @@ def _(t):
 @on_titles("sales_band_summary")
 def _(t):
     """Means and medians of the bands, and what share of the test titles lies inside."""
-    ready = supervised.prepare_features(t)
-    scored = bands.fit_bands(ready, schema.INGEST_ID).predict(ready)
-    test = scored.filter(supervised.three_parts(schema.INGEST_ID) == "test")
+    ready = supervised.prepare_features(written_once(t.select(*PREDICTED)))
+    fitted = bands.fit_bands(ready, schema.INGEST_ID)
+    test = fitted.predict(ready.filter(supervised.three_parts(schema.INGEST_ID) == "test"))
     levels = ("p10", "p50", "p90")
     inside = F.avg(F.col("Global_Sales").between(F.col("p10"), F.col("p90")).cast("double")).alias("coverage")
     return test.agg(*[F.avg(c).alias(f"{c}_mean") for c in levels], *[F.median(c).alias(f"{c}_median") for c in levels], inside)
@@ -220,6 +229,7 @@ def _(t):
     FROM ranked WHERE nth <= 11 AND 1 - similarity >= 0.00001 AND candidate <> anchor""",
 )
 def _(t):
+    t = written_once(t.select("ingest_id", "Name", "Global_Sales", "Composite_Score", "Year", "Decade", "Genre", "Platform_Family", "Publisher"))
     found = similar.similar_titles(supervised.prepare_features(t))
     return found.select("anchor_id", "anchor", "candidate_id", "candidate", "similarity", "genre_match")
 
@@ -240,16 +250,17 @@ def _(spark, sf_dir):
 
 def behavior(t):
     fitted = segments.fit_segments(t)
-    return fitted, segments.segment_profiles(fitted.assign(t))
+    return fitted, segments.segment_profiles(written_once(fitted.assign(t)))
 
 
 @on_titles("behavior_segments")
 def _(t):
-    fitted, profiles = behavior(t)
+    fitted, profiles = behavior(written_once(t.select(*SEGMENTED, "Age_Years", "Composite_Score")))
     return profiles.withColumns({"bic": F.lit(fitted.bic), "aic": F.lit(fitted.aic)})
 
 
 @on_titles("tagged_segments")
 def _(t):
+    t = written_once(t.select(*SEGMENTED, "Age_Years", "Composite_Score"))
     regional = clusters.region_segments(clusters.fit_region_clusters(t, k=4).assign(t))
     return segments.tagged_segments(regional, behavior(t)[1])
