@@ -10,6 +10,7 @@ from salesprism.operators import market
 from salesprism.plans import report
 from salesprism.plans.raw_listing import SHORT
 from salesprism.plans.titles import base_titles
+from salesprism.session import written_once
 from salesprism.sources import files, listing_pages
 from salesprism.workload.files import new_folder
 from salesprism.workload.registry import BASE, LOOKUPS, ORACLES, on_titles, query
@@ -114,9 +115,16 @@ def _(t):
 ORACLES["report_picks"] = PICKS
 
 
+REPORTED = (
+    "ingest_id", "Name", "Publisher", "Genre", "Platform_Family", "Platform_Family_CN", "Year", "Decade", "Sales_Tier", "Composite_Score",
+    "Score_Gap", "Critic_Score", "User_Score", *schema.REGIONS, "Global_Sales",
+)
+
+
 @on_titles("report_table_with_clusters")
 def _(t):
     """The report with the summary of fitted clusters."""
+    t = written_once(t.select(*REPORTED))
     return report.report(t, market.cluster_summary(clusters.cluster_regions(t)))
 
 
