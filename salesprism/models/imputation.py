@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from salesprism import schema
-from salesprism.models.statistics import Moments, linear, moments, quantiles
+from salesprism.models.statistics import Moments, moments, quantiles
 from salesprism.session import cut_lineage
 
 ROUNDS = 10
@@ -98,14 +98,26 @@ def impute_scores(
         return df
     maps = chain(patterns, rounds)
     middle = [centre[c] for c in columns]
+    # Per pattern, for each target its start and weights, or none where the target is present.
+    entries = [F.lit(0), F.lit(None).cast("array<array<double>>")]
+    for p, m in maps.items():
+        if not all(p[: len(targets)]):
+            numbers = [[m[t + 1, 0] + middle[t], *(m[t + 1, 1:] * np.array(p))] for t in range(len(targets))]
+            rows = [F.lit(None).cast("array<double>") if p[t] else F.array(*[F.lit(float(w)) for w in row]) for t, row in enumerate(numbers)]
+            entries += [F.lit(1 + sum(1 << i for i, present in enumerate(p) if present)), F.array(*rows)]
+    pattern = sum((F.when(h, 1 << i).otherwise(0) for i, h in enumerate(has.values())), F.lit(1))
+
+    def predicted(weights):
+        parts = [F.col(c).cast("double") - F.lit(float(m)) for c, m in zip(columns, middle, strict=True)]
+        return sum((F.when(h, weights[i] * x).otherwise(0.0) for i, (h, x) in enumerate(zip(has.values(), parts, strict=True), 1)), weights[0])
+
+    name = "_predicted"
+    while name in df.columns:
+        name += "_"
     filled = {}
-    for t, name in enumerate(targets):
-        value = F.col(name).cast("double")
-        for p, m in maps.items():
-            if not p[t]:
-                same = F.lit(True)
-                for h, present in zip(has.values(), p, strict=True):
-                    same = same & (h if present else ~h)
-                value = F.when(same, linear(columns, m[t + 1, 1:] * np.array(p), m[t + 1, 0] + middle[t], middle)).otherwise(value)
-        filled[name] = F.round(F.greatest(value, F.lit(low)), digits)
-    return df.withColumns(filled)
+    for t, target in enumerate(targets):
+        value = F.coalesce(F.col(name)[t], F.col(target).cast("double"))
+        filled[target] = F.round(F.greatest(value, F.lit(low)), digits)
+    # One expression for all patterns and targets: written out for each, the method is too long to be compiled.
+    predictions = F.transform(F.element_at(F.create_map(*entries), pattern), predicted)
+    return df.withColumn(name, predictions).withColumns(filled).drop(name)
