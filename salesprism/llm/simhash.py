@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from salesprism.llm.common import connected_components, read, utf8, written
+from salesprism.llm.common import connected_components, in_few, read, utf8, written
 
 SHINGLE = 3
 SEED = 42
@@ -179,17 +179,19 @@ def links(fps: DataFrame, n: int, max_bits: int = MAX_BITS, light: int = LIGHT)
     """
     if not grids_serve(n, max_bits, light):
         return close_pairs(fps, n, max_bits)
+    masks = _masks(blocks_for(n, max_bits), max_bits)
     cells = fps.select(
         "fp",
         F.explode(
             F.array(*[
                 F.struct(F.lit(i).alias("grid"), embedding(F.col("fp")).bitwiseAND(F.lit(m)).alias("cell"))
-                for i, m in enumerate(_masks(blocks_for(n, max_bits), max_bits))
+                for i, m in enumerate(masks)
             ])
         ).alias("at"),
     ).select("fp", "at.grid", "at.cell")
-    sizes = written(cells.groupBy("grid", "cell").agg(F.count("*").alias("members")).filter("members > 1"), "cells")
-    shared = written(cells.join(sizes, ["grid", "cell"]), "shared")
+    several = cells.groupBy("grid", "cell").agg(F.count("*").alias("members")).filter("members > 1")
+    sizes = written(in_few(several, n * len(masks) // 2), "cells")
+    shared = written(in_few(cells.join(sizes, ["grid", "cell"]), n * len(masks)), "shared")
     small = shared.filter(F.col("members") <= light)
     left = small.select("grid", "cell", F.col("fp").alias("src"))
     right = small.select("grid", "cell", F.col("fp").alias("dst"))
@@ -232,14 +234,16 @@ def simhash_components(
     of ``docs`` are not read.
     """
     fps = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    labels = connected_components(links(nodes.select("fp"), nodes.count(), max_bits, light))
+    rows = fps.count()
+    nodes = written(in_few(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), rows), "nodes")
+    n = nodes.count()
+    labels = connected_components(links(nodes.select("fp"), n, max_bits, light))
     grouped = nodes.join(labels, nodes.fp == labels.node, "left").select(
         "fp", "first", F.coalesce("label", "fp").alias("label")
     )
     smallest = grouped.groupBy("label").agg(F.min("first").alias("component_id"))
-    names = written(grouped.join(smallest, "label").select("fp", "component_id"), "components")
-    return fps.join(names, "fp").select("doc_id", "fp", "component_id")
+    names = written(in_few(grouped.join(smallest, "label").select("fp", "component_id"), n), "components")
+    return in_few(fps.join(names, "fp").select("doc_id", "fp", "component_id"), rows)
 
 
 def op8_simhash(spark, sf_dir):
