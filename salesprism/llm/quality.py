@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from salesprism.llm.common import BLANK, BLANKS, read, sealed, written
+from salesprism.llm.common import BLANK, BLANKS, in_few, read, sealed, written
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 # The transformed statistics, and for each the spread a group has before it has rows (prior)
@@ -157,10 +157,11 @@ def vector() -> list[Column]:
     return [F.round(x * UNIT).cast("long").alias(f"x_{name}") for x, name in zip(axes, AXES, strict=True)]
 
 
-def _factored(groups: DataFrame, mean: dict[str, Column], cov: dict[tuple[int, int], Column]) -> DataFrame:
+def _factored(groups: DataFrame, mean: dict[str, Column], cov: dict[tuple[int, int], Column], most: int) -> DataFrame:
     """Group rows with means m_i, the Cholesky factor l_i_j of the regularised scatter and det.
 
     det is the logarithm of the determinant: twice the sum of those of the factor's diagonal.
+    There are at most ``most`` rows.
     """
     p = len(AXES)
     prior = [(x * UNIT) ** 2 for x in PRIOR]
@@ -182,7 +183,7 @@ def _factored(groups: DataFrame, mean: dict[str, Column], cov: dict[tuple[int, i
             rest = F.col(f"c_{i}_{j}") - sum((F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}") for k in range(j)), F.lit(0.0))
             out = out.withColumn(f"l_{i}_{j}", F.sqrt(rest) if i == j else rest / F.col(f"l_{j}_{j}"))
     out = out.withColumn("det", sum((2 * F.log(f"l_{i}_{i}") for i in range(p)), F.lit(0.0)))
-    return written(out.drop(*[f"c_{i}_{j}" for i in range(p) for j in range(i + 1)]), "scatter")
+    return written(in_few(out.drop(*[f"c_{i}_{j}" for i in range(p) for j in range(i + 1)]), most), "scatter")
 
 
 def _distances(rows: DataFrame, groups: DataFrame, how: str = "left") -> DataFrame:
@@ -223,8 +224,8 @@ def _scatter(p: int) -> dict[tuple[int, int], Column]:
     }
 
 
-def _starts(rows: DataFrame) -> DataFrame:
-    """The starts of each group: medians with quartile spreads, moments, and two of shrunk rows.
+def _starts(rows: DataFrame) -> tuple[DataFrame, int]:
+    """The starts of each group, and how many these are: medians with quartile spreads, moments, and two of shrunk rows.
 
     The medians and quartiles come from counts of binned values. Of the rows less the medians,
     in quartile spreads, one start takes the directions (spatial signs), the other hyperbolic
@@ -255,10 +256,11 @@ def _starts(rows: DataFrame) -> DataFrame:
     ), "middle")
     medians = {a: F.col(f"q_{i}") for i, a in enumerate(AXES)}
     diagonal = {(i, j): F.col(f"w_{i}") * F.col(f"w_{j}") if i == j else F.lit(0.0) for i in range(p) for j in range(i + 1)}
-    found = [_factored(middle.withColumn("start_", F.lit(STARTS[0])), medians, diagonal)]
+    most = middle.count()
+    found = [_factored(middle.withColumn("start_", F.lit(STARTS[0])), medians, diagonal, most)]
 
     sums = _moments(rows, [F.col(f"x_{a}") for a in AXES]).withColumn("start_", F.lit(STARTS[1]))
-    found.append(_factored(sums, {a: F.col(f"s_{i}") / F.col("n") for i, a in enumerate(AXES)}, _scatter(p)))
+    found.append(_factored(sums, {a: F.col(f"s_{i}") / F.col("n") for i, a in enumerate(AXES)}, _scatter(p), most))
 
     z = rows.join(middle.drop("n"), ["lang_", "source_"]).select(
         "lang_", "source_", *[((F.col(f"x_{a}") - F.col(f"q_{i}")) / F.col(f"w_{i}")).alias(f"z_{i}") for i, a in enumerate(AXES)]
@@ -271,11 +273,11 @@ def _starts(rows: DataFrame) -> DataFrame:
         whole = z.select("lang_", "source_", *[F.round(shrunk(i) * UNIT).cast("long").alias(f"v_{i}") for i in range(p)])
         sums = _moments(whole, [F.col(f"v_{i}") for i in range(p)]).join(middle.drop("n"), ["lang_", "source_"])
         cov = {(i, j): c * F.col(f"w_{i}") * F.col(f"w_{j}") / UNIT**2 for (i, j), c in _scatter(p).items()}
-        found.append(_factored(sums.withColumn("start_", F.lit(name)), medians, cov))
-    return reduce(DataFrame.unionByName, found)
+        found.append(_factored(sums.withColumn("start_", F.lit(name)), medians, cov, most))
+    return reduce(DataFrame.unionByName, found), most * len(STARTS)
 
 
-def _concentrate(rows: DataFrame, groups: DataFrame, share: float) -> DataFrame:
+def _concentrate(rows: DataFrame, groups: DataFrame, share: float, most: int) -> DataFrame:
     """One concentration step: mean and scatter of the ``share`` of rows nearest the centre.
 
     The nearest rows of a group are found from counts of distances in fine logarithmic bins,
@@ -297,7 +299,7 @@ def _concentrate(rows: DataFrame, groups: DataFrame, share: float) -> DataFrame:
     sums = _moments(far.join(last, keys), [F.col(f"x_{a}") for a in AXES], F.col("bin") <= F.col("last"))
     mean = {a: F.col(f"s_{i}") / F.col("n") for i, a in enumerate(AXES)}
     consistent = share / chi2_cdf(chi2_quantile(share, p), p + 2)
-    return _factored(sums, mean, {at: consistent * c for at, c in _scatter(p).items()})
+    return _factored(sums, mean, {at: consistent * c for at, c in _scatter(p).items()}, most)
 
 
 def least_determinant(rows: DataFrame, share: float, most: int = MOST_STEPS) -> DataFrame:
@@ -305,21 +307,22 @@ def least_determinant(rows: DataFrame, share: float, most: int = MOST_STEPS) ->
 
     A start takes steps while its determinant falls, and keeps the last estimate that fell.
     """
-    best = moving = _concentrate(rows, _starts(rows), share)
+    starts, n = _starts(rows)
+    best = moving = _concentrate(rows, starts, share, n)
     for _ in range(most):
-        new = _concentrate(rows, moving, share)
+        new = _concentrate(rows, moving, share, n)
         values = [c for c in new.columns if c not in KEYS]
         old = best.select(*KEYS, F.struct(*values).alias("old"))
         joined = old.join(new.select(*KEYS, F.struct(*values).alias("new")), list(KEYS), "left")
         fell = F.coalesce(F.col("new.det") < F.col("old.det") - CONVERGED, F.lit(False))
         judged = joined.select(*KEYS, F.when(fell, F.col("new")).otherwise(F.col("old")).alias("kept"), fell.alias("fell"))
-        judged = written(judged.select(*KEYS, "kept.*", "fell"), "best")
+        judged = written(in_few(judged.select(*KEYS, "kept.*", "fell"), n), "best")
         best, moving = judged.drop("fell"), judged.filter("fell").drop("fell")
         if moving.isEmpty():
             break
     values = [c for c in best.columns if c not in KEYS]
     least = best.groupBy("lang_", "source_").agg(F.min(F.struct("det", "start_", *[c for c in values if c != "det"])).alias("least"))
-    return written(least.select("lang_", "source_", "least.*"), "estimates")
+    return written(in_few(least.select("lang_", "source_", "least.*"), n), "estimates")
 
 
 def quality_rules(

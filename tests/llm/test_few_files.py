@@ -3,7 +3,7 @@
 import glob
 
 import pytest
-from salesprism.llm import simhash
+from salesprism.llm import quality, simhash
 
 
 @pytest.fixture
@@ -41,6 +41,14 @@ def test_op8_tables_of_few_rows(spark, many_partitions):
     assert all(n <= 1 for name, n in written if name not in ("fingerprints", "pairs"))
 
 
+def test_op9_tables_of_groups(spark, many_partitions):
+    before = folders(spark)
+    assert quality.quality_rules(table(spark)).filter("kept").count() == 90
+    written = files(folders(spark) - before)
+    assert {"scatter", "best", "estimates"} <= {name for name, _ in written}
+    assert all(n <= 1 for name, n in written if name in ("scatter", "best", "estimates"))
+
+
 def test_components_of_a_chain(spark, many_partitions):
     from salesprism.llm.common import connected_components
 
