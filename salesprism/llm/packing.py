@@ -55,6 +55,14 @@ _BYTE_LETTERS = _byte_letters()
 _NEWLINE = _BYTE_LETTERS[10]
 
 
+def strings_of(column: pa.LargeStringArray) -> list[str]:
+    """The strings of a column without line feeds: decoded as one text, which costs far less than each alone."""
+    if not len(column):
+        return []
+    lines = pa.LargeListArray.from_arrays(pa.array([0, len(column)], pa.int64()), column)
+    return pc.binary_join(lines, pa.scalar("\n", pa.large_string()))[0].as_py().split("\n")
+
+
 class ChunkEncoder:
     """Token ids of texts by way of their distinct chunks between ASCII blanks.
 
@@ -110,7 +118,7 @@ class ChunkEncoder:
             texts = pc.ascii_lower(texts)
         lists = pc.ascii_split_whitespace(texts)
         coded = lists.flatten().dictionary_encode()
-        found = self._chunks(coded.dictionary.to_pylist())
+        found = self._chunks(strings_of(coded.dictionary))
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         table = np.frombuffer(b"".join(found), "<u4")
         starts = np.cumsum(sizes) - sizes
