@@ -7,12 +7,16 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ACCURACY = 10_000
 MOST_VALUES = 100_000
 SUM_TYPE = "decimal(38,12)"
+# Terms up to LARGEST are summed as ten-thousandths and the 1e8th parts of these, both bigints:
+# 2^31 rows fit. Larger terms are summed as decimals.
+UPPER, LOWER = 10_000, 100_000_000
+LARGEST = float(1 << 18)
 
 
 def quantiles(df: DataFrame, wanted: Mapping[str, float], most: int = MOST_VALUES) -> dict[str, float | None]:
@@ -97,24 +101,44 @@ def moments(
 ) -> dict[tuple, Moments]:
     """``Moments`` per value of ``by`` from one aggregate; a missing value adds nothing.
 
-    Terms are summed as decimals of twelve digits, so the sums do not depend on their order.
+    Terms are summed to twelve decimals as whole numbers, so the sums do not depend on their order.
     """
     centre = centre or {}
     middle = np.array([float(centre.get(c) or 0.0) for c in columns])
     x = [F.coalesce(F.col(c).cast("double") - F.lit(float(m)), F.lit(0.0)) for c, m in zip(columns, middle, strict=True)]
     pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    sums = [F.sum(v.cast(SUM_TYPE)).cast("double").alias(f"s{i}") for i, v in enumerate(x)]
-    products = [F.sum((x[i] * x[j]).cast(SUM_TYPE)).cast("double").alias(f"p{i}_{j}") for i, j in pairs]
+    terms = {f"s{i}": v for i, v in enumerate(x)} | {f"p{i}_{j}": x[i] * x[j] for i, j in pairs}
     out = {}
-    for row in df.groupBy(*by).agg(F.count("*").alias("rows"), *sums, *products).collect():
+    for row in _summed(df, by, terms):
         p = np.zeros((len(columns), len(columns)))
         for i, j in pairs:
-            p[i, j] = p[j, i] = row[f"p{i}_{j}"] or 0.0
-        s = np.array([row[f"s{i}"] or 0.0 for i in range(len(columns))])
+            p[i, j] = p[j, i] = row[f"p{i}_{j}"]
+        s = np.array([row[f"s{i}"] for i in range(len(columns))])
         out[tuple(row[b] for b in by)] = Moments(row["rows"], s, p, middle)
     return out
 
 
+def _summed(df: DataFrame, by: Sequence[str], terms: Mapping[str, Column]) -> list[dict]:
+    """The keys, rows and sums of ``terms`` per value of ``by``; in decimals if any term is large or no number."""
+    parts, large = [], F.lit(False)
+    for name, v in terms.items():
+        fits = F.abs(v) <= LARGEST
+        scaled = F.when(fits, v) * UPPER
+        upper = F.rint(scaled)
+        parts += [
+            F.sum(upper.cast("bigint")).alias(f"{name}_upper"),
+            F.sum(F.rint((scaled - upper) * LOWER).cast("bigint")).alias(f"{name}_lower"),
+        ]
+        large = large | ~fits
+    rows = [r.asDict() for r in df.groupBy(*by).agg(F.count("*").alias("rows"), F.count_if(large).alias("large"), *parts).collect()]
+    if any(row["large"] for row in rows):
+        sums = [F.sum(v.cast(SUM_TYPE)).cast("double").alias(name) for name, v in terms.items()]
+        rows = [r.asDict() for r in df.groupBy(*by).agg(F.count("*").alias("rows"), *sums).collect()]
+        return [{**row, **{name: row[name] or 0.0 for name in terms}} for row in rows]
+    whole = {name: (f"{name}_upper", f"{name}_lower") for name in terms}
+    return [{**row, **{name: ((row[u] or 0) * LOWER + (row[d] or 0)) / (UPPER * LOWER) for name, (u, d) in whole.items()}} for row in rows]
+
+
 def linear(columns: Sequence[str], weights: Sequence[float], start: float = 0.0, centre: Sequence[float] | None = None):
     """The column ``start`` + sum of weight * (column - centre)."""
     middle = centre if centre is not None else [0.0] * len(columns)
