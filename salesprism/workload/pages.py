@@ -137,7 +137,7 @@ def _(t):
 @on_titles("report_documents")
 def _(t):
     """The report as one JSON document a section, written and read back."""
-    path, folded = new_folder(t, "report-json"), report.documents(report.report(t))
+    path, folded = new_folder(t, "report-json"), report.documents(report.report(written_once(t.select(*LINED))))
     files.write_json(folded, path)
     back = t.sparkSession.read.schema(folded.schema).json(path)
     return back.select("section", F.size("lines").alias("n"), F.array_join(F.transform("lines", lambda x: x["label"]), "|").alias("labels"))

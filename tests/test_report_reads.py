@@ -17,7 +17,7 @@ SCHEMA = ", ".join(
 )
 
 
-@pytest.mark.parametrize("name", ["report_table"])
+@pytest.mark.parametrize("name", ["report_table", "report_documents"])
 def test_titles_are_made_once(spark, monkeypatch, name):
     made = spark.sparkContext.accumulator(0)
 
