@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salesprism.llm.common import chunks, read, utf8, written
+from salesprism.llm.common import WIDE_ROWS, chunks, read, utf8, written
 
 WINDOW = 10
 BLOCK_BYTES = 4 << 20
@@ -111,7 +111,7 @@ def build_index(docs: DataFrame, keep: tuple[str, ...], text_col: str, segment_b
     """The written index: a row for each segment, with the ``keep`` columns of its documents.
 
     Segments follow the partitions of ``docs``: nothing is shuffled. A longer document is a
-    segment of its own.
+    segment of its own. A few segments make a row group, however many a task writes.
     """
     given = docs.select(*[F.col(f"`{c}`").alias(f"keep_{i}") for i, c in enumerate(keep)], F.col(text_col).alias("text_"))
     kept = ", ".join(f"{name} array<{kind}>" for name, kind in given.dtypes[:-1])
@@ -133,7 +133,7 @@ def build_index(docs: DataFrame, keep: tuple[str, ...], text_col: str, segment_b
                 )
 
     schema = f"{kept}, lengths array<int>, terms array<binary>, counts array<int>, places binary"
-    return written(given.mapInArrow(run, schema), "index")
+    return written(given.mapInArrow(run, schema), "index", WIDE_ROWS)
 
 
 def item_windows(text: bytes, window: int) -> list[tuple[bytes, ...]]:
