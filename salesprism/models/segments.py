@@ -17,6 +17,7 @@ from salesprism import schema
 from salesprism.functions.sales import exact_sum
 from salesprism.models.clusters import Projection, fit_projection
 from salesprism.models.statistics import linear
+from salesprism.operators.cleaning import settled
 from salesprism.operators.market import cluster_summary
 from salesprism.operators.ordered import exact_median
 from salesprism.session import cut_lineage, written_once
@@ -113,7 +114,8 @@ class Segments:
         scored = scored.withColumn("cluster_probs", F.array(*[F.col(p) / F.col("_whole") for p in parts]))
         likely = F.array_position("cluster_probs", F.array_max("cluster_probs")) - 1
         scored = scored.withColumn("behavior_cluster", likely.cast("int"))
-        return scored.drop(*[f"_f_{c}" for c in self.features], *names, *parts, "_whole")
+        # Settled: a filter on the segment would else repeat all densities for each use.
+        return settled(scored.drop(*[f"_f_{c}" for c in self.features], *names, *parts, "_whole"))
 
 
 def _vectors(df: DataFrame, projection: Projection) -> DataFrame:

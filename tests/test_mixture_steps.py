@@ -35,6 +35,13 @@ def test_ends_where_the_library_ends(spark):
     assert found.columns == [*COLUMNS, "cluster_probs", "behavior_cluster"]
 
 
+def test_filters_do_not_repeat_the_densities(spark):
+    df = table(spark)
+    found = segments.fit_segments(df, k=3, steps=2).assign(df)
+    plan = found.filter("behavior_cluster >= 0 AND cluster_probs[0] >= 0")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("EXP(") == 3 and found.filter("behavior_cluster >= 0").count() == 400
+
+
 def test_points_without_spread_have_a_mixture(spark):
     df = spark.createDataFrame([(1.0,) * len(COLUMNS)] * 70, ", ".join(f"{c} double" for c in COLUMNS))
     fitted = segments.fit_segments(df, steps=3)
